@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, linededup, neardup, spm, toxicity
+from . import decontaminate, langid, linededup, neardup, secrets, spm, tokenstore, toxicity
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(_t(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
@@ -35,7 +39,19 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encode(_t(spark, sf_dir, "documents"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_t(spark, sf_dir, "documents"))
+
+
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents")
+    return tokenstore.lookup(docs, tokenstore.build(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op5_language_id, op6_toxicity, op7_ngram_jaccard_join, op8_sentencepiece)
+    f.__name__: f for f in (
+        op1_line_dedup, op2_decontamination, op5_language_id, op6_toxicity,
+        op7_ngram_jaccard_join, op8_sentencepiece, op9_secrets, op10_token_store,
+    )
 }
 ORACLES: dict[str, str] = {"op1_line_dedup": linededup.ORACLE}

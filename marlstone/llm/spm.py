@@ -158,8 +158,8 @@ class Encoder:
         self.known.update(zip(keys, zip(at.tolist(), counts.tolist(), strict=True), strict=True))
         self.ids, self.sizes = np.concatenate([self.ids, flat]), np.concatenate([self.sizes, sizes])
 
-    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(pieces of each text, ids, starts, ends) of a chunk of texts; places are bytes of the original text."""
+    def encode(self, data: np.ndarray, off: np.ndarray, spans: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]:
+        """(pieces of each text, ids, starts, ends) of a chunk of texts; places are bytes of the original text, None without ``spans``."""
         n, aligned = len(off) - 1, None
         if self.map or self.model.trim or not _valid(data):
             parts = [normalise(data[off[i] : off[i + 1]].tobytes(), self.map, self.model.trim) for i in range(n)]
@@ -198,12 +198,14 @@ class Encoder:
         total = int(counts.sum())
         seg_at = np.cumsum(counts) - counts
         take = np.arange(total) + np.repeat(place[:, 0] - seg_at, counts)
-        ids, size = self.ids[take], self.sizes[take].astype(np.int64)
+        ids = self.ids[take]
+        per = np.bincount(np.searchsorted(off, starts, "right") - 1, weights=counts, minlength=n).astype(np.int64)
+        if not spans:
+            return per, ids, None, None
+        size = self.sizes[take].astype(np.int64)
         size[seg_at[first]] -= 1  # the added space is nowhere in the text
         stop = np.cumsum(size)
         start = stop - size
-        piece_text = np.searchsorted(off, starts, "right") - 1
-        per = np.bincount(piece_text, weights=counts, minlength=n).astype(np.int64)
         base = np.repeat(off[:-1], per)
         start, stop = start - base, stop - base
         if aligned is not None:
