@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import langid, spm
+from marlstone.llm import decontaminate, langid, linededup, neardup, spm
 from marlstone.llm.common import shared_dir
 
 
@@ -15,12 +15,33 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_identified(docs)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes out lines like an earlier line of the corpus; a document of which nothing is left goes."""
+    return linededup.clean(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest document of each group of near copies."""
+    return neardup.deduplicate(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold passages of the benchmark."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids and byte spans of every document that is left."""
     return spm.encode(docs)
 
 
-STAGES = [("language_id", language_id), ("sentencepiece", sentencepiece)]
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("sentencepiece", sentencepiece),
+]
 
 #: Trained models and tokenizers can't be expressed in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None

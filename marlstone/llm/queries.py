@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, linededup, neardup, secrets, spm, tokenstore, toxicity
+from . import ann, decontaminate, langid, linededup, neardup, secrets, spm, tokenstore, toxicity, urlfilter
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.check(_t(spark, sf_dir, "pages"))
+
+
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(_t(spark, sf_dir, "embeddings"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
@@ -50,8 +58,8 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_line_dedup, op2_decontamination, op5_language_id, op6_toxicity,
+        op1_line_dedup, op2_decontamination, op3_url_filter, op4_nearest_neighbours, op5_language_id, op6_toxicity,
         op7_ngram_jaccard_join, op8_sentencepiece, op9_secrets, op10_token_store,
     )
 }
-ORACLES: dict[str, str] = {"op1_line_dedup": linededup.ORACLE}
+ORACLES: dict[str, str] = {"op1_line_dedup": linededup.ORACLE, "op3_url_filter": urlfilter.oracle()}
