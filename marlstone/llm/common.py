@@ -2,16 +2,41 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import shared_dir, written  # noqa: F401
 from .textkernel import mix
 
 
+def lean(run):
+    """A batch function that gives free memory back to the system when its task ends: workers live on between tasks."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
+def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Limits the Arrow batches that workers get by bytes too, unless the session has a limit of its own.
+
+    Rows of text differ in length by orders of magnitude; ten thousand long ones would not fit a worker.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, str(2**31 - 1)).rstrip("b")) >= 256 << 20:
+        spark.conf.set(name, str(size))
+
+
 def rehashed(col: Column, seed: int) -> Column:
     """A pseudo-random order of a key that doesn't depend on how rows are laid out."""
     return F.xxhash64(col, F.lit(seed))
