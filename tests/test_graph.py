@@ -1,7 +1,7 @@
 import math
 
 import pytest
-from conftest import same_rows
+from compare import same_rows
 
 from marlstone.graph import queries
 from marlstone.graph.components import connected_components
