@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
+from .common import bounded_batches, lean
 
 #: Signs between a secret and what belongs to it.
 REACH = 400
@@ -27,7 +28,7 @@ RULES = [
     ("chat_token", "secret", True, r"\b(xox[abprs]-[A-Za-z0-9-]{10,250})"),
     ("signed_token", "secret", True, r"\b(eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})"),
     ("url_with_password", "secret", True, r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,100}:([^\s:/@]{3,100})@[^\s/]+"),
-    ("assigned_secret", "secret", False, r"(?i)\b(?:[a-z0-9_.-]{0,40}?(?:secret|token|passw(?:or)?d|passwd|pwd|api[_-]?key|auth[_-]?key|private[_-]?key))\b[\"']?\s{0,3}(?::=|=>|=|:)\s{0,3}[\"']?([^\s\"',;]{8,200})"),
+    ("assigned_secret", "secret", False, r"(?i)\b(?:[a-z0-9_.-]{0,40}?(?:secret(?:[_-]?(?:access[_-]?)?key)?|token|passw(?:or)?d|passwd|pwd|(?:api|auth|private)[_-]?key))\b[\"']?\s{0,3}(?::=|=>|=|:)\s{0,3}[\"']?([^\s\"',;]{8,200})"),
     ("long_base64", "secret", False, r"(?<![A-Za-z0-9+/=_-])([A-Za-z0-9+/]{40})(?![A-Za-z0-9+/=_-])"),
     ("cloud_key_id", "identifier", False, r"\b((?:AKIA|ASIA|AROA|AIDA)[0-9A-Z]{16})\b"),
     ("assigned_id", "identifier", False, r"(?i)\b(?:client[_-]?id|access[_-]?key[_-]?id|account[_-]?id|user(?:name)?|login|tenant[_-]?id)\b[\"']?\s{0,3}(?::=|=>|=|:)\s{0,3}[\"']?([^\s\"',;]{3,100})"),
@@ -75,8 +76,9 @@ def parts(docs: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in PARTS.split(", ")])
 
+    bounded_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rid"), F.col("text").cast("string").alias("text")).where("text is not null")
-    return src.mapInArrow(run, PARTS)
+    return src.mapInArrow(lean(run), PARTS)
 
 
 def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import spm
 from . import textkernel as K
-from .common import shared_dir, written
+from .common import bounded_batches, lean, shared_dir, written
 
 MAGIC = b"MPH1"
 ENTRY = np.dtype([("fp", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("n", "<u4"), ("crc", "<u4")])
@@ -147,7 +147,7 @@ class Store:
 
     def find(self, keys: np.ndarray):
         """Yields (positions in keys, found, entries, shard names) bucket by bucket."""
-        which = bucket_of(keys, len(self.files)) if self.files != [""] else np.zeros(0, np.int64)
+        which = bucket_of(keys, len(self.files)) if self.files else np.zeros(0, np.int64)
         for b in np.unique(which):
             at = np.flatnonzero(which == b)
             bucket = self._bucket(int(b))
@@ -170,6 +170,7 @@ def build(docs: DataFrame, uri: str | None = None, model_file: str | None = None
     of them, with equal ids).  Texts of any length are stored whole.  Other columns are ignored.
     An empty table gives an empty store.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     uri = uri or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     filesystem, root = pafs.FileSystem.from_uri(uri)
@@ -201,7 +202,7 @@ def build(docs: DataFrame, uri: str | None = None, model_file: str | None = None
             out.close()
 
     src = docs.select(F.col("doc_id").cast("long").alias("key"), F.xxhash64("text").alias("rid"), F.col("text").cast("string").alias("text")).where("key is not null")
-    entries = written(src.mapInArrow(shards, "key long, rid long, shard string, offset long, n long, crc long"), "token-entries")
+    entries = written(src.mapInArrow(lean(shards), "key long, rid long, shard string, offset long, n long, crc long"), "token-entries")
     total = entries.count()
     buckets = max(1, -(-total // keys_per_bucket))
 
@@ -224,7 +225,7 @@ def build(docs: DataFrame, uri: str | None = None, model_file: str | None = None
             f.write(blob)
         return pa.table({"bucket": pa.array([bucket], pa.int64()), "name": [name]})
 
-    tagged = entries.mapInArrow(spread, "bucket long, key long, rid long, shard string, offset long, n long, crc long")
+    tagged = entries.mapInArrow(lean(spread), "bucket long, key long, rid long, shard string, offset long, n long, crc long")
     made = {r["bucket"]: r["name"] for r in tagged.groupBy("bucket").applyInArrow(index, "bucket long, name string").collect()} if total else {}
     if total:
         for b in range(buckets):  # a bucket that no key fell into
@@ -260,6 +261,6 @@ def lookup(keys: DataFrame, uri: str) -> DataFrame:
             col = lambda f: pa.array(rows[f].astype(np.int64), mask=~there)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.split("-")[1] if s else None for s in shard], pa.string()), col("offset"), col("n"), col("crc"), pa.array(ok)], names=["doc_id", "shard", "byte_offset", "n_ids", "crc32", "intact"])
 
-    return keys.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").mapInArrow(run, "doc_id long, shard string, byte_offset long, n_ids long, crc32 long, intact boolean")
+    return keys.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").mapInArrow(lean(run), "doc_id long, shard string, byte_offset long, n_ids long, crc32 long, intact boolean")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
+from .common import lean
 
 #: (rule name, glob over the canonical URL): ``*`` any signs, ``?`` one ASCII sign; the whole URL must match.
 DEFAULT_RULES = [
@@ -113,7 +114,7 @@ def check(pages: DataFrame, rules: list[tuple[str, str]] | None = None) -> DataF
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), url.slice(lo, hi - lo), pa.array(found, pa.list_(pa.string())), pa.array([bool(x) for x in found])], names=["page_id", "canonical_url", "rules", "blocked"])
 
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), canonical(F.col("url").cast("string")).alias("canonical_url"))
-    return src.mapInArrow(run, "page_id long, canonical_url string, rules array<string>, blocked boolean")
+    return src.mapInArrow(lean(run), "page_id long, canonical_url string, rules array<string>, blocked boolean")
 
 
 def oracle(rules: list[tuple[str, str]] | None = None) -> str:
