@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import key_filter, may_be_in, passes, written
+from .common import bounded_batches, key_filter, lean, may_be_in, passes, written
 
-_C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_C1 = np.uint64(0x9E3779B97F4A7C15)
 _PART = 1 << 18
 
 
@@ -30,20 +30,23 @@ def _words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return K.hash_ranges(low, start, end), start
 
 
+def _parts(counts: np.ndarray):
+    for i in range(0, len(counts), _PART):
+        part = counts[i : i + _PART]
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([pa.compress(part.tobytes(), "zstd", asbytes=True)], pa.binary())], names=["at", "part"])
+
+
 def _count(bits: int):
     def run(batches):
-        counts = np.zeros(1 << bits, np.uint32)
-        some = False
+        counts, some = np.zeros(1 << bits, np.uint32), False
         for b in batches:
             data, off = K.text_buffers(b.column(0))
             for lo, hi in K.chunks(off):
                 h, _ = _words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 np.add.at(counts, (h >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
                 some = some or len(h) > 0
-        for i in range(0, len(counts) if some else 0, _PART):
-            part = counts[i : i + _PART]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([pa.compress(part.tobytes(), "zstd", asbytes=True)], pa.binary())], names=["at", "part"])
+        yield from _parts(counts if some else counts[:0])
 
     return run
 
@@ -59,16 +62,18 @@ def _merge(batches):
         yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([pa.compress(q.tobytes(), "zstd", asbytes=True)], pa.binary())], names=["at", "part"])
 
 
-def rarity(docs: DataFrame, bits: int = 24):
-    """Broadcast sketch of all words' counts: 2**bits bytes, each 1 + 8 log2 of a bucket's count.
-
-    1 means that the bucket saw one word once: such a word is in one line only.
-    """
-    parts = docs.select("text").mapInArrow(_count(bits), "at long, part binary").repartition("at").mapInArrow(_merge, "at long, part binary").toArrow()
+def _sketch(column: DataFrame, count, bits: int):
+    """Broadcast counts of 2**bits buckets, a byte each: 1 + 8 log2 of the bucket's count."""
+    parts = column.mapInArrow(lean(count), "at long, part binary").repartition("at").mapInArrow(lean(_merge), "at long, part binary").toArrow()
     sketch = np.zeros(1 << bits, np.uint8)
     for at, part in zip(parts.column(0).to_pylist(), parts.column(1).to_pylist(), strict=True):
         sketch[at : at + _PART] = np.frombuffer(pa.decompress(part, _PART, "zstd", asbytes=True), np.uint8)
-    return docs.sparkSession.sparkContext.broadcast(sketch)
+    return column.sparkSession.sparkContext.broadcast(sketch)
+
+
+def rarity(docs: DataFrame, bits: int = 24):
+    """Sketch of all words' counts.  1 means that the bucket saw one word once: such a word is in one line only."""
+    return _sketch(docs.select("text"), _count(bits), bits)
 
 
 class _Sets:
@@ -95,10 +100,9 @@ class _Sets:
         self.number = (before[0] - before[1]).astype(np.int32)
         if len(used):
             self.k1 = np.add.reduceat(K.mix(self.h ^ _C1), self.at).view(np.int64)
-            self.k2 = np.add.reduceat(K.mix(self.h ^ _C2), self.at).view(np.int64)
             self.parity = np.bitwise_xor.reduceat(np.uint64(1) << (self.h >> np.uint64(58)), self.at).view(np.int64)
         else:
-            self.k1 = self.k2 = self.parity = np.zeros(0, np.int64)
+            self.k1 = self.parity = np.zeros(0, np.int64)
 
 
 def _lists(counts: np.ndarray, flat) -> pa.Array:
@@ -106,7 +110,7 @@ def _lists(counts: np.ndarray, flat) -> pa.Array:
 
 
 def _line_rows(sketch, bits: int, t: float):
-    names = ["k1", "k2", "doc", "rid", "line", "n", "parity", "prefix"]
+    names = ["k1", "doc", "rid", "line", "n", "parity", "prefix"]
 
     def run(batches):
         for b in batches:
@@ -121,15 +125,15 @@ def _line_rows(sketch, bits: int, t: float):
                     use = (pos < np.repeat(probe, s.size)) & (s.q != 1)
                     packed = ((s.h[use] >> np.uint64(16)) << np.uint64(16)) | np.minimum(pos[use], 0xFFFF).astype(np.uint64)
                     count = np.add.reduceat(use.astype(np.int64), s.at)
-                    parts.append((s.k1, s.k2, s.text + lo, s.number, s.size, s.parity, count, packed.view(np.int64)))
+                    parts.append((s.k1, s.text + lo, s.number, s.size, s.parity, count, packed.view(np.int64)))
             if not parts:
                 continue
-            k1, k2, text, number, size, parity, count, packed = (np.concatenate(x) for x in zip(*parts, strict=True))
+            k1, text, number, size, parity, count, packed = (np.concatenate(x) for x in zip(*parts, strict=True))
             d = doc[text]
             # map-side combine: of equal sets in a batch only the first goes on whole; the others' prefixes are left out
-            order = np.lexsort((number, text, d, k2, k1))
+            order = np.lexsort((number, text, d, size, parity, k1))
             again = np.zeros(len(k1), bool)
-            again[order[1:]] = (k1[order[1:]] == k1[order[:-1]]) & (k2[order[1:]] == k2[order[:-1]])
+            again[order[1:]] = (k1[order[1:]] == k1[order[:-1]]) & (parity[order[1:]] == parity[order[:-1]]) & (size[order[1:]] == size[order[:-1]])
             # under one doc_id an equal line is a copy only within the same text
             heads = order[np.flatnonzero(~again[order])]
             lead = np.empty(len(k1), np.int64)
@@ -137,7 +141,7 @@ def _line_rows(sketch, bits: int, t: float):
             again &= (d != d[lead]) | (text == text[lead])
             prefix = _lists(np.where(again, 0, count), pa.array(packed[np.repeat(~again, count)]))
             copy = pa.array(again)
-            cols = [pa.array(k1), pa.array(k2), pa.array(d), pa.array(rid[text]), pa.array(number), pa.array(size.astype(np.int32)), pa.array(parity), prefix, copy]
+            cols = [pa.array(k1), pa.array(d), pa.array(rid[text]), pa.array(number), pa.array(size.astype(np.int32)), pa.array(parity), prefix, copy]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "copy"])
 
     return run
@@ -148,61 +152,103 @@ def _needed_sets(filt, bits: int):
 
     def run(batches):
         for b in batches:
-            data, off = K.text_buffers(b.column(0))
-            done: set[int] = set()
+            doc, rid = b.column(0).to_numpy(), b.column(1).to_numpy()
+            data, off = K.text_buffers(b.column(2))
             for lo, hi in K.chunks(off):
                 s = _Sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], None, bits)
-                ok = passes(held.value, fbits, s.k1)
-                for i in np.flatnonzero(ok):
-                    if int(s.k1[i]) in done:
-                        ok[i] = False
-                    done.add(int(s.k1[i]))
+                ok = passes(held.value, fbits, (doc[s.text + lo] << 20) ^ s.number)
                 if ok.any():
-                    words = np.repeat(ok, s.size)
-                    yield pa.RecordBatch.from_arrays([pa.array(s.k1[ok]), _lists(s.size[ok], pa.array(s.h[words].view(np.int64)))], names=["k", "words"])
+                    at = s.text[ok] + lo
+                    h, size = s.h[np.repeat(ok, s.size)], s.size[ok]
+                    cols = [pa.array(doc[at]), pa.array(rid[at]), pa.array(s.number[ok]), pa.array(size.astype(np.int32)), _lists(size, pa.array(h.view(np.int64))), _lists(size, pa.array((h >> np.uint64(32)).astype(np.uint32).view(np.int32)))]
+                    first, bit = np.cumsum(size) - size, np.uint64(1) << (h >> np.uint64(50) & np.uint64(63))
+                    part = h >> np.uint64(56) & np.uint64(3)
+                    for i in range(4):
+                        cols.append(pa.array(np.bitwise_xor.reduceat(np.where(part == np.uint64(i), bit, np.uint64(0)), first).view(np.int64)))
+                    yield pa.RecordBatch.from_arrays(cols, names=["doc", "rid", "line", "n", "words", "halves", "s0", "s1", "s2", "s3"])
 
     return run
 
 
+def _packed(line, n, entry):
+    """Line number, size and place in one long."""
+    return F.shiftleft(line.cast("long"), 40).bitwiseOR(F.shiftleft(F.least(n, F.lit((1 << 24) - 1)).cast("long"), 16)).bitwiseOR(entry.bitwiseAND(0xFFFF))
+
+
+def _place(doc: str, line: str):
+    """One long for a line's place; places that share it only cost time."""
+    return F.shiftleft(F.col(doc), 20).bitwiseXOR(F.col(line).cast("long"))
+
+
 def removals(docs: DataFrame, threshold: float = 0.8, bits: int = 24) -> DataFrame:
     """(doc, rid, lines): the 0-based numbers of the lines to take out of each text that has any; rid is the text's hash."""
+    bounded_batches(docs.sparkSession)
     t = threshold
     src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64("text").alias("rid"), F.col("text").cast("string").alias("text")).where("text is not null")
     sketch = rarity(src, bits)
-    rows = src.mapInArrow(_line_rows(sketch, bits, t), "k1 long, k2 long, doc long, rid long, line int, n int, parity long, prefix array<long>, copy boolean")
-    first = Window.partitionBy("k1", "k2").orderBy("doc", "copy", "rid", "line").rowsBetween(Window.unboundedPreceding, 0)
+    rows = src.mapInArrow(lean(_line_rows(sketch, bits, t)), "k1 long, doc long, rid long, line int, n int, parity long, prefix array<long>, copy boolean")
+    # equal sets are told by two hashes and the size
+    first = Window.partitionBy("k1", "parity", "n").orderBy("doc", "copy", "rid", "line").rowsBetween(Window.unboundedPreceding, 0)
     ranked = rows.withColumn("f", F.first(F.struct("doc", "rid", "line")).over(first))
     later = F.col("copy") | (F.col("doc") > F.col("f.doc")) | ((F.col("rid") == F.col("f.rid")) & (F.col("line") > F.col("f.line")))
     is_first = (F.col("doc") == F.col("f.doc")) & (F.col("rid") == F.col("f.rid")) & (F.col("line") == F.col("f.line"))
-    lines = written(ranked.select("k1", "doc", "rid", "line", "n", "parity", F.when(is_first, F.col("prefix")).alias("prefix"), later.alias("later")), "lines")
+    lines = written(ranked.select("doc", "rid", "line", "n", "parity", F.when(is_first, F.col("prefix")).alias("prefix"), later.alias("later")), "lines")
     kept = lines.where("prefix is not null")
 
-    entry = kept.select("k1", "n", "parity", F.explode("prefix").alias("p")).select(F.shiftright("p", 16).alias("tok"), F.col("p").bitwiseAND(0xFFFF).cast("int").alias("pos"), "n", "parity", "k1").repartition("tok")
-    x = entry.select("tok", *(F.col(c).alias(f"x_{c}") for c in ("pos", "n", "parity", "k1")))
-    y = entry.select("tok", *(F.col(c).alias(f"y_{c}") for c in ("pos", "n", "parity", "k1")))
+    entry = (
+        kept.select("doc", "parity", "line", "n", F.explode("prefix").alias("e"))
+        .select(F.shiftright("e", 16).alias("tok"), "doc", "parity", _packed(F.col("line"), F.col("n"), F.col("e")).alias("p"))
+        .repartition("tok")
+    )
+    side = lambda x: entry.select("tok", *(F.col(c).alias(f"{x}_{c}") for c in ("doc", "parity")), F.shiftright("p", 40).cast("int").alias(f"{x}_line"), F.shiftright("p", 16).bitwiseAND((1 << 24) - 1).cast("int").alias(f"{x}_n"), F.col("p").bitwiseAND(0xFFFF).cast("int").alias(f"{x}_pos"))
+    x, y = side("x"), side("y")
     need = F.ceil(F.lit(t / (1 + t)) * (F.col("x_n") + F.col("y_n")) - 1e-9)
     alike = (
-        ((F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_k1") < F.col("y_k1"))))
-        & (F.col("x_n") >= F.ceil(F.lit(t) * F.col("y_n") - 1e-9))
+        # each pair once: x comes earlier
+        ((F.col("x_doc") < F.col("y_doc")) | ((F.col("x_doc") == F.col("y_doc")) & (F.col("x_line") < F.col("y_line"))))
+        & (F.least("x_n", "y_n") >= F.ceil(F.lit(t) * F.greatest("x_n", "y_n") - 1e-9))
         & (F.bit_count(F.col("x_parity").bitwiseXOR(F.col("y_parity"))) <= F.col("x_n") + F.col("y_n") - 2 * need)
         & (F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) >= need)
     )
-    pairs = written(x.join(y.hint("merge"), "tok").where(alike).select(F.col("x_k1").alias("a"), F.col("y_k1").alias("b")).distinct(), "line-pairs")
-
-    filt = key_filter(pairs.select("a").unionAll(pairs.select("b")))
-    sets = src.select("text").mapInArrow(_needed_sets(filt, bits), "k long, words array<long>").groupBy("k").agg(F.first("words").alias("words"))
-    where = kept.where(may_be_in(F.col("k1"), filt)).select(F.col("k1").alias("k"), F.struct("doc", "line", "rid").alias("at"))
-    sets = written(sets.join(where, "k"), "line-sets")
-    a = sets.select(F.col("k").alias("a"), F.col("words").alias("wa"), F.col("at").alias("pa"))
-    b = sets.select(F.col("k").alias("b"), F.col("words").alias("wb"), F.col("at").alias("pb"))
-    both = F.size(F.array_intersect("wa", "wb"))
-    close = pairs.join(a, "a").join(b, "b").where(both >= F.lit(t) * (F.size("wa") + F.size("wb") - both) - 1e-9)
-    order = lambda p, q: (F.col(f"{p}.doc") < F.col(f"{q}.doc")) | ((F.col(f"{p}.doc") == F.col(f"{q}.doc")) & (F.col(f"{p}.rid") == F.col(f"{q}.rid")) & (F.col(f"{p}.line") < F.col(f"{q}.line")))
-    losers = close.select(F.when(order("pa", "pb"), F.col("pb")).when(order("pb", "pa"), F.col("pa")).alias("l")).where("l is not null").select("l.doc", "l.rid", "l.line")
-    gone = lines.where("later").select("doc", "rid", "line").unionAll(losers)
+    pairs = x.join(y.hint("merge"), "tok").where(alike)
+    pairs = written(pairs.select(F.col("x_doc").alias("a"), F.col("x_line").alias("al"), F.col("y_doc").alias("b"), F.col("y_line").alias("bl")).distinct(), "line-pairs")
+
+    filt = key_filter(pairs.select(_place("a", "al").alias("k")).unionAll(pairs.select(_place("b", "bl").alias("k"))))
+    sets = written(src.mapInArrow(lean(_needed_sets(filt, bits)), "doc long, rid long, line int, n int, words array<long>, halves array<int>, s0 long, s1 long, s2 long, s3 long"), "line-sets")
+
+    # A wide parity sketch bounds the difference of a pair closely: what it leaves is alike, or nearly.
+    sk = lambda x: sets.select(F.col("doc").alias(x), F.col("line").alias(f"{x}l"), F.col("n").alias(f"{x}n"), *(F.col(f"s{i}").alias(f"{x}{i}") for i in range(4)))
+    wide = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, 4)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
+    most = F.col("an") + F.col("bn") - 2 * F.ceil(F.lit(t / (1 + t)) * (F.col("an") + F.col("bn")) - 1e-9)
+    pairs = pairs.join(sk("b"), ["b", "bl"]).join(sk("a"), ["a", "al"]).withColumn("d", wide.cast("int")).where(F.col("d") <= most)
+    pairs = written(pairs.select("a", "al", "b", "bl", "d").distinct(), "line-close")
+
+    # A line goes if any earlier line is alike, so each is first verified against its closest candidate,
+    # on half of each word's hash; what that leaves open meets all its candidates on the whole hashes.
+    best = pairs.groupBy("b", "bl").agg(F.min(F.struct("d", "a", "al")).alias("m")).select("b", "bl", F.col("m.a").alias("a"), F.col("m.al").alias("al"))
+    settled = written(_verified(best, sets, t, "halves", 1), "line-settled")
+    open_ = written(pairs.drop("d").join(settled.select(F.col("doc").alias("b"), F.col("line").alias("bl")), ["b", "bl"], "left_anti"), "line-open")
+    near = key_filter(open_.select(_place("a", "al").alias("k")).unionAll(open_.select(_place("b", "bl").alias("k"))))
+    rest = _verified(open_, sets.where(may_be_in(_place("doc", "line"), near)), t, "words", 0)
+    gone = lines.where("later").select("doc", "rid", "line").unionAll(settled).unionAll(rest)
     return written(gone.groupBy("doc", "rid").agg(F.collect_set("line").alias("lines")), "line-removals")
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, t: float, words: str, spare: int) -> DataFrame:
+    """(doc, rid, line) of the later lines of the pairs that share ``spare`` words more than they must.
+
+    Halves of hashes may take two different words for one, once in some 10**8 pairs; with one word
+    to spare that would have to happen twice in a pair, which is as rare as equal whole hashes.
+    """
+    a = sets.select(F.col("doc").alias("a"), F.col("line").alias("al"), F.col("rid").alias("ar"), F.col(words).alias("wa"))
+    b = sets.select(F.col("doc").alias("b"), F.col("line").alias("bl"), F.col("rid").alias("br"), F.col(words).alias("wb"))
+    both = F.size(F.array_intersect("wa", "wb")) - spare
+    # within one doc_id only lines of the same text
+    fair = (F.col("a") != F.col("b")) | (F.col("ar") == F.col("br"))
+    close = pairs.join(b, ["b", "bl"]).join(a, ["a", "al"]).where(fair & (both >= F.lit(t) * (F.size("wa") + F.size("wb") - both) - 1e-9))
+    return close.select(F.col("b").alias("doc"), F.col("br").alias("rid"), F.col("bl").alias("line"))
+
+
 def clean(docs: DataFrame, threshold: float = 0.8, bits: int = 24, drop_emptied: bool = True, count_as: str | None = None) -> DataFrame:
     """docs without the lines that are at least ``threshold`` alike (Jaccard of their word sets) to an earlier line.
 
