@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .common import bounded_sample
+from .common import bounded_batches, bounded_sample, lean
 from .svm import fit_dense_svm
 
 DECAY, SPAN = 0.8, 7
@@ -138,16 +138,21 @@ def features(w: Words) -> list[tuple[np.ndarray, np.ndarray]]:
 
 @dataclass
 class ToxicityModel:
-    #: The machine folded into one weight per subsequence, its bias, and the least score that is toxic.
+    #: The machine folded into one weight per subsequence, its bias, and the least score of a toxic word.
     table: np.ndarray
     bias: float
     threshold: float
+    #: A text with so many different words of at least this score is toxic too.
+    low: float = np.inf
+    least: int = 2
 
     def word_scores(self, w: Words) -> np.ndarray:
-        """Score of each distinct word; below the threshold only an upper bound."""
+        """Score of each distinct word; below the thresholds only an upper bound."""
         left, u = _left(w), w.signs
         raw, square = np.zeros(len(u), np.float32), np.zeros(len(u), np.float32)
         for a, b in _GAPS:
+            if len(u) <= a + b:
+                continue
             at = slice(0, len(u) - a - b)
             ok = left[at] > a + b
             v = DECAY ** (a + b + 1)
@@ -158,25 +163,27 @@ class ToxicityModel:
         raw, square = np.add.reduceat(raw, w.starts).astype(np.float64), np.add.reduceat(square, w.starts)
         # shared subsequences only lengthen a word's vector: this bounds its score from above
         score = np.where(raw > 0, raw / np.sqrt(np.maximum(square, 1e-12)), raw) + self.bias
-        close = np.flatnonzero(score >= self.threshold)
+        close = np.flatnonzero(score >= min(self.threshold, self.low))
         for lo in range(0, len(close), 20_000):
             ids = close[lo : lo + 20_000]
             score[ids] = [float(self.table[i] @ v) for i, v in features(w.only(ids))]
             score[ids] += self.bias
         return score
 
-    def score(self, texts) -> tuple[np.ndarray, np.ndarray]:
-        """(highest word score, toxic words) of each text; -1 for a text without words."""
+    def score(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(highest word score, toxic words, whether it is toxic) of each text; -1 for a text without words."""
         data, off = K.text_buffers(texts)
         n = len(off) - 1
-        best, count = np.full(n, -1.0), np.zeros(n, np.int64)
+        best, count, some = np.full(n, -1.0), np.zeros(n, np.int64), np.zeros(n, np.int64)
         for lo, hi in K.chunks(off, 2 * K.CHUNK):
             w = words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
             s = self.word_scores(w)[w.which] if len(w.which) else np.zeros(0)
             per = np.bincount(w.text, minlength=hi - lo)
             best[lo:hi] = K.segment_reduce(np.maximum, s, per, -1.0)
             count[lo:hi] = np.bincount(w.text[s >= self.threshold], minlength=hi - lo)
-        return best, count
+            weak = np.unique(w.text[s >= self.low].astype(np.int64) << 32 | w.which[s >= self.low])
+            some[lo:hi] = np.bincount(weak >> 32, minlength=hi - lo)
+        return best, count, (count > 0) | (some >= self.least)
 
 
 def _dense(rows, cols: np.ndarray) -> np.ndarray:
@@ -232,10 +239,12 @@ def train(rows: list[tuple[int, str]], landmarks: int = 384, negatives: int = 50
         score = best.word_scores(w)
         top = np.full(len(rows), -1.0)
         np.maximum.at(top, doc, score[word])
-        best.threshold = _cut(top[y], top[~y])
         # the next round: each toxic document's best word as its witness, and the clean words that score highest
         order = np.lexsort((-score[word], doc))
-        at = order[np.unique(doc[order], return_index=True)[1]]
+        first = np.unique(doc[order], return_index=True)[1]
+        at = order[first]
+        best.threshold = _cut(top[y], top[~y])
+        _calibrate(best, y, top, doc[order], score[word][order])
         witness = word[at][y[doc[at]] & (score[word[at]] > 0) & (odds[word[at]] > 1.5)]
         pos = np.union1d(strong, witness)
         hard = clean[np.argsort(-score[clean], kind="stable")][: negatives // 2]
@@ -243,18 +252,38 @@ def train(rows: list[tuple[int, str]], landmarks: int = 384, negatives: int = 50
     return best
 
 
-def _cut(toxic: np.ndarray, clean: np.ndarray) -> float:
-    """The score that separates best, among those that flag at most one clean document in 200."""
+def _cut(toxic: np.ndarray, clean: np.ndarray, wrong_at_most: float = 0.002) -> float:
+    """The score that separates best, among those that flag at most this share of the clean documents."""
     at = np.unique(np.concatenate([toxic, clean, [0.0]]))
     mids = np.concatenate([[0.0], (at[1:] + at[:-1]) / 2])
     mids = mids[mids >= -0.5]
     t, c = np.sort(toxic), np.sort(clean)
     caught = 1 - np.searchsorted(t, mids) / len(t)
     wrong = 1 - np.searchsorted(c, mids) / len(c)
-    gain = np.where(wrong <= 0.005, caught - 4 * wrong, -1)
+    gain = np.where(wrong <= wrong_at_most, caught - 4 * wrong, -1)
     return float(mids[int(np.argmax(gain))])
 
 
+def _calibrate(model: ToxicityModel, y: np.ndarray, top: np.ndarray, doc: np.ndarray, score: np.ndarray) -> None:
+    """Chooses how many weaker words make a document toxic, and their score; documents' words come in falling order."""
+    heads = np.searchsorted(doc, np.arange(len(y)))
+    sizes = np.diff(np.append(heads, len(doc)))
+    sure = top >= model.threshold
+    best = (sure[y].mean() - 4 * sure[~y].mean(), np.inf, 2)
+    for least in (2, 3, 4):
+        nth = np.full(len(y), -1.0)
+        has = sizes >= least
+        nth[has] = score[heads[has] + least - 1]
+        for low in np.unique(np.quantile(nth[y], np.linspace(0, 1, 101))):
+            if -0.4 <= low < model.threshold:
+                hit = sure | (nth >= low)
+                wrong = hit[~y].mean()
+                gain = hit[y].mean() - 4 * wrong
+                if wrong <= 0.006 and gain > best[0]:
+                    best = (gain, float(low), least)
+    _, model.low, model.least = best
+
+
 RESULT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("toxic_words", T.LongType()), T.StructField("toxic", T.BooleanType())])
 
 
@@ -267,22 +296,24 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 2000) -> ToxicityMo
 
 
 def flag(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
-    """(doc_id, score, toxic_words, toxic) for every row of docs: toxic if any word scores at least the threshold.
+    """(doc_id, score, toxic_words, toxic) for every row of docs: toxic if any word scores at least the
+    threshold, or several different words score at least a lower one; both come from training.
 
     A text without words (null, empty, only signs) has score -1 and isn't toxic.  Long texts are
     read whole.  Rows are judged one by one: repeated rows give equal rows, a null doc_id stays
     null, other columns are ignored.  Without both labels there is no model: score is null and
     nothing is toxic.
     """
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for b in batches:
             if held.value is None:
-                score, count = pa.nulls(len(b), pa.float64()), np.zeros(len(b), np.int64)
+                score, count, bad = pa.nulls(len(b), pa.float64()), np.zeros(len(b), np.int64), np.zeros(len(b), bool)
             else:
-                score, count = held.value.score(b.column(1))
+                score, count, bad = held.value.score(b.column(1))
                 score = pa.array(score)
-            yield pa.RecordBatch.from_arrays([b.column(0), score, pa.array(count), pa.array(count > 0)], names=RESULT.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), score, pa.array(count), pa.array(bad)], names=RESULT.names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, RESULT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), RESULT)
