@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
+from .common import bounded_batches, lean
 
 Q = 8
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -259,6 +260,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 100, step: int =
     Other columns are ignored.  The benchmark is broadcast in slices of at most ``slice_bytes`` of
     text; a larger one costs a pass over the documents for each slice.
     """
+    bounded_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -267,7 +269,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 100, step: int =
     for i in range(slices):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == i).orderBy("item_id", "text").collect()
         held = docs.sparkSession.sparkContext.broadcast(Index([(r[0], r[1]) for r in rows], window, step, rate))
-        part = src.mapInArrow(_scan(held), SCHEMA)
+        part = src.mapInArrow(lean(_scan(held)), SCHEMA)
         out = part if out is None else out.unionAll(part)
     return out
 
@@ -277,6 +279,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
 
     Rows without doc_id are judged by their own text too.  Null and empty texts stay.
     """
+    bounded_batches(docs.sparkSession)
     at = docs.columns.index("text")
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null")
     slice_bytes = how.pop("slice_bytes", 8 << 20)
@@ -285,7 +288,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     args = {"window": 100, "step": 20, "rate": 0.06} | how
     for i in range(slices):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == i).orderBy("item_id", "text").collect()
-        docs = docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(Index([(r[0], r[1]) for r in rows], **args)), at), docs.schema)
+        held = docs.sparkSession.sparkContext.broadcast(Index([(r[0], r[1]) for r in rows], **args))
+        docs = docs.mapInArrow(lean(_keep(held, at)), docs.schema)
     return docs
 
 

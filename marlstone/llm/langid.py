@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .common import bounded_sample
+from .common import bounded_batches, bounded_sample, lean
 from .svm import fit_linear_svm
 
 #: Family of each language code; a code that isn't here is a family of its own.
@@ -198,6 +198,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, min_coverage: float =
     equal results, a null doc_id stays null, other columns are ignored.  Without any labelled row
     there is no model: language and family are null and everything is kept.
     """
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -205,7 +206,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, min_coverage: float =
             got = judge(held.value, b.column(1), min_coverage)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got["family"], pa.string()), pa.array(got["lang_pred"], pa.string()), pa.array(got["margin"], pa.float64()), pa.array(got["coverage"], pa.float64()), pa.array(got["kept"], pa.bool_())], names=RESULT.names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, RESULT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), RESULT)
 
 
 def keep_identified(docs: DataFrame, per_language: int = 400, min_coverage: float = 0.5) -> DataFrame:
@@ -213,6 +214,7 @@ def keep_identified(docs: DataFrame, per_language: int = 400, min_coverage: floa
 
     Null and empty texts, and texts without letters, go; see ``identify``.
     """
+    bounded_batches(docs.sparkSession)
     model = fit(docs, per_language)
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
@@ -221,4 +223,4 @@ def keep_identified(docs: DataFrame, per_language: int = 400, min_coverage: floa
         for b in batches:
             yield b.filter(pa.array(judge(held.value, b.column(at), min_coverage)["kept"], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -12,6 +12,7 @@ worker, and the ids are the same as those of the whole text.
 
 from __future__ import annotations
 
+import itertools
 import os
 from dataclasses import dataclass
 
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
+from .common import bounded_batches, lean
 
 SPACE = "▁"
 #: Segments a worker remembers before it starts anew.
@@ -141,21 +143,26 @@ class Encoder:
         #: ASCII signs that are in no piece: always apart.
         self.alone = np.zeros(256, bool)
         self.alone[[c for c in range(128) if chr(c) not in inside and c != 32]] = True
-        self.known: dict[int, tuple[int, int]] = {}
-        self.ids = np.zeros(0, np.int32)
-        self.sizes = np.zeros(0, np.int32)
+        self._forget()
 
-    def _learn(self, keys: list[int], segments: list[str]) -> None:
+    def _forget(self) -> None:
+        #: Hashes of the segments encoded so far, ascending, and where their ids are.
+        self.known, self.place, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def _learn(self, keys: np.ndarray, segments: list[str]) -> None:
         got = self.sp.encode(segments)
-        counts = np.array([len(x) for x in got], np.int64)
-        flat = np.fromiter((i for x in got for i in x), np.int32, int(counts.sum()))
+        counts = np.fromiter(map(len, got), np.int64, len(got))
+        flat = np.fromiter(itertools.chain.from_iterable(got), np.int32, int(counts.sum()))
         sizes = self.size[flat]
         if (flat == self.unk).any():
             texts = [s for x in self.sp.encode(segments, out_type=str) for s in x]
             for j in np.flatnonzero(flat == self.unk):
                 sizes[j] = len(texts[j].replace(SPACE, " ").encode())
-        at = len(self.ids) + np.cumsum(counts) - counts
-        self.known.update(zip(keys, zip(at.tolist(), counts.tolist(), strict=True), strict=True))
+        at = np.searchsorted(self.known, keys)
+        self.known = np.insert(self.known, at, keys)
+        self.place = np.insert(self.place, at, len(self.ids) + np.cumsum(counts) - counts)
+        self.count = np.insert(self.count, at, counts)
         self.ids, self.sizes = np.concatenate([self.ids, flat]), np.concatenate([self.sizes, sizes])
 
     def encode(self, data: np.ndarray, off: np.ndarray, spans: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]:
@@ -186,18 +193,19 @@ class Encoder:
         keys = K.hash_ranges(data, starts, ends) ^ (first.astype(np.uint64) << np.uint64(63))
         uniq, where, back = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.known) + len(uniq) > CACHE:
-            self.known, self.ids, self.sizes = {}, self.ids[:0], self.sizes[:0]
-        names = uniq.tolist()
-        new = [j for j, k in enumerate(names) if k not in self.known]
-        if new:
-            s, e, f = starts[where[new]].tolist(), ends[where[new]].tolist(), first[where[new]].tolist()
+            self._forget()
+        at = np.searchsorted(self.known, uniq)
+        new = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != uniq) if len(self.known) else np.arange(len(uniq))
+        if len(new):
             raw = data.tobytes()
-            self._learn([names[j] for j in new], [(SPACE if x else "") + raw[a:b].decode().replace(" ", SPACE) for a, b, x in zip(s, e, f, strict=True)])
-        place = np.array([self.known[k] for k in names], np.int64)[back.reshape(-1)]
-        counts = place[:, 1]
+            s, e, f = (x[where[new]].tolist() for x in (starts, ends, first))
+            self._learn(uniq[new], [(SPACE if x else "") + raw[a:b].decode().replace(" ", SPACE) for a, b, x in zip(s, e, f, strict=True)])
+            at = np.searchsorted(self.known, uniq)
+        back = at[back.reshape(-1)]
+        counts = self.count[back]
         total = int(counts.sum())
         seg_at = np.cumsum(counts) - counts
-        take = np.arange(total) + np.repeat(place[:, 0] - seg_at, counts)
+        take = np.arange(total) + np.repeat(self.place[back] - seg_at, counts)
         ids = self.ids[take]
         per = np.bincount(np.searchsorted(off, starts, "right") - 1, weights=counts, minlength=n).astype(np.int64)
         if not spans:
@@ -264,6 +272,7 @@ def encode(docs: DataFrame, model_file: str | None = None) -> DataFrame:
     has empty lists and is lossless.  Long texts are encoded whole.  Rows are encoded one by one:
     repeated rows give equal rows, a null doc_id stays null, other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(Model.load(model_file or default_model()))
 
     def run(batches):
@@ -276,7 +285,7 @@ def encode(docs: DataFrame, model_file: str | None = None) -> DataFrame:
                 same = pc.equal(enc.decode(per, ids), K.column(b.column(1).slice(lo, hi - lo)).cast(pa.large_binary()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), _list(per, ids), _list(per, start), _list(per, stop), pa.array(per.astype(np.int32)), same], names=RESULT.names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, RESULT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), RESULT)
 
 
 def decode(encoded: DataFrame, model_file: str | None = None) -> DataFrame:
@@ -297,4 +306,4 @@ def decode(encoded: DataFrame, model_file: str | None = None) -> DataFrame:
             out = enc.decode(per, np.array([i for x in lists for i in x], np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.decode(errors="replace") for x in out.to_pylist()], pa.string())], names=schema.names)
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, schema)
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(lean(run), schema)
