@@ -6,9 +6,14 @@ or signs left out.  Spans reach over ``SPAN`` places at most, which makes a word
 explicit: the machine's weights over landmarks fold into one table, and scoring a word costs a
 gather per pair of gaps, whatever the number of landmarks.
 
-Training follows the multiple-instance scheme: the sentences of a document labelled toxic are a bag
-of words of which some are to blame, the sentences of clean documents give negatives, and the
-machine and the choice of each toxic bag's witness word alternate.
+Training follows the multiple-instance scheme: a document labelled toxic is a bag of words of which
+some are to blame, the words of clean documents give negatives, and the machine and the choice of
+each toxic bag's witness word alternate.
+
+What no single word shows lies in several words or in how often they occur.  Words and gapped pairs
+of words within a sentence that occur at a higher rate in toxic documents are terms with a weight;
+the evidence of terms and words is summed over each sentence and over the whole text, and measured
+against what clean text of that length holds.
 """
 
 from __future__ import annotations
@@ -30,6 +35,12 @@ DECAY, SPAN = 0.8, 7
 BITS = 16
 DIM = 1 << BITS
 START, END = 62, 63
+#: Words of a pair are at most so many places apart.
+APART = 2
+#: Levels of words' scores, each with evidence of its own; below the first there is none.
+LEVELS = np.array([-0.4, 0.0, 0.4, 0.8, 1.2, 1.6])
+#: Added to the variance of a sum of evidence, so a short text needs more than chance.
+LEAST_VAR = 1.0
 _GAPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b < SPAN]
 
 #: Sign of each byte: 255 parts words, 254 is left out of them.  Figures and signs that stand for letters become them.
@@ -38,6 +49,9 @@ SIGN[97:123] = np.arange(26)
 for _b, _c in zip(b"0134578@$!", b"oieastbasi", strict=True):
     SIGN[_b] = _c - 97
 SIGN[[9, 10, 11, 12, 13, 32]] = 255
+#: These end a sentence before white space; a line end always does.
+STOP = np.zeros(256, bool)
+STOP[list(b".!?")] = True
 #: Continuation bytes of two-byte letters: 36 further signs; lead bytes are left out.
 SIGN[128:192] = 26 + np.arange(64) % 36
 
@@ -56,6 +70,9 @@ class Words:
     #: Distinct word of each word in the chunk, and the text it's in.
     which: np.ndarray
     text: np.ndarray
+    #: Hash of each distinct word, and number of the sentence of each word in the chunk.
+    key: np.ndarray | None = None
+    sentence: np.ndarray | None = None
 
     def name(self, i: int) -> bytes:
         return self.signs[self.starts[i] : self.starts[i] + self.sizes[i]].tobytes()
@@ -83,6 +100,7 @@ def words(data: np.ndarray, off: np.ndarray) -> Words:
     start, end = K.runs(s != 255, o)
     text = np.searchsorted(o, start, "right") - 1
     size = end - start
+    sentence = _sentences(data, off)[kept[start]]
     if len(start) > 1:  # "i d i o t": join neighbours of one letter each within a text
         single = size == 1
         glue = np.zeros(len(start), bool)
@@ -96,12 +114,12 @@ def words(data: np.ndarray, off: np.ndarray) -> Words:
             live = s != 254
             shift = np.cumsum(live) - live
             s = s[live]
-            start, text = shift[start[~glue]], text[~glue]
+            start, text, sentence = shift[start[~glue]], text[~glue], sentence[~glue]
             last = np.append(np.flatnonzero(~glue)[1:], len(end)) - 1
             end = shift[end[last] - 1] + 1
             size = end - start
     h = K.hash_ranges(s, start, end)
-    _, first, back = np.unique(h, return_index=True, return_inverse=True)
+    key, first, back = np.unique(h, return_index=True, return_inverse=True)
     st, sz = start[first], size[first]
     out_at = np.cumsum(sz + 2) - (sz + 2)
     signs = np.full(int((sz + 2).sum()), END, np.uint8)
@@ -109,7 +127,29 @@ def words(data: np.ndarray, off: np.ndarray) -> Words:
     total = int(sz.sum())
     flat = np.arange(total) - np.repeat(np.cumsum(sz) - sz, sz)
     signs[np.repeat(out_at + 1, sz) + flat] = s[np.repeat(st, sz) + flat]
-    return Words(signs, out_at, sz + 2, back.reshape(-1), text)
+    return Words(signs, out_at, sz + 2, back.reshape(-1), text, key, sentence)
+
+
+def _sentences(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Number of the sentence that each byte is in."""
+    new = np.zeros(len(data) + 1, np.int32)
+    new[1:] = data == K.LINE_END
+    new[1:-1] |= STOP[data[:-1]] & (SIGN[data[1:]] == 255)
+    new[off] = 1
+    return np.cumsum(new[:-1], dtype=np.int32)
+
+
+def terms(w: Words):
+    """(keys, words they start at, gap) of the words of a chunk, with gap 0, and of its gapped pairs within a sentence."""
+    h = w.key[w.which]
+    yield h, np.arange(len(h)), 0
+    for gap in range(1, APART + 1):
+        at = np.flatnonzero(w.sentence[gap:] == w.sentence[:-gap])
+        yield K.mix(h[at] * np.uint64(0x9E3779B97F4A7C15) + h[at + gap]), at, gap
+
+
+def _fade(gap: int) -> float:
+    return DECAY ** max(gap - 1, 0)
 
 
 def _left(w: Words) -> np.ndarray:
@@ -145,6 +185,46 @@ class ToxicityModel:
     #: A text with so many different words of at least this score is toxic too.
     low: float = np.inf
     least: int = 2
+    #: Evidence of each level of words' scores; sorted keys of terms and their weights; mean and variance of a clean word's evidence.
+    levels: np.ndarray | None = None
+    keys: np.ndarray | None = None
+    weights: np.ndarray | None = None
+    usual: tuple[float, float] = (0.0, 1.0)
+    #: A text is toxic too if a sentence, or all of it, holds so many deviations more evidence than clean text.
+    in_sentence: float = np.inf
+    in_text: float = np.inf
+
+    def evidence(self, w: Words, score: np.ndarray) -> np.ndarray:
+        """Evidence of each word of a chunk, from its score and the terms that start at it."""
+        if self.levels is None or not len(w.which):
+            return np.zeros(len(w.which))
+        out = self.levels[np.searchsorted(LEVELS, score, "right")][w.which]
+        if len(self.keys):
+            word = out
+            for key, at, gap in terms(w):
+                i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                hit = np.flatnonzero(self.keys[i] == key)
+                at, v = at[hit], self.weights[i[hit]] * _fade(gap)
+                if not gap:
+                    out[at] = np.maximum(out[at], v)
+                    word = out.copy()
+                else:  # only what a pair says beyond its words
+                    out[at] += np.maximum(v - word[at] - word[at + gap], 0)
+        return out
+
+    def excess(self, evidence: np.ndarray, per: np.ndarray) -> np.ndarray:
+        """How far the evidence of each run of so many words lies above clean text's, in deviations."""
+        mean, var = self.usual
+        total = K.segment_reduce(np.add, evidence, per, 0.0)
+        return (total - mean * per) / np.sqrt(var * per + LEAST_VAR)
+
+    def excesses(self, e: np.ndarray, text: np.ndarray, sentence: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(most of a sentence, all of the text) for each of n texts, from the evidence of their words."""
+        per = np.bincount(text, minlength=n)
+        head = np.flatnonzero(np.diff(sentence, prepend=-1))
+        one = self.excess(e, np.diff(np.append(head, len(e))))
+        of = np.bincount(text[head], minlength=n)
+        return K.segment_reduce(np.maximum, one, of, 0.0), self.excess(e, per)
 
     def word_scores(self, w: Words) -> np.ndarray:
         """Score of each distinct word; below the thresholds only an upper bound."""
@@ -163,27 +243,33 @@ class ToxicityModel:
         raw, square = np.add.reduceat(raw, w.starts).astype(np.float64), np.add.reduceat(square, w.starts)
         # shared subsequences only lengthen a word's vector: this bounds its score from above
         score = np.where(raw > 0, raw / np.sqrt(np.maximum(square, 1e-12)), raw) + self.bias
-        close = np.flatnonzero(score >= min(self.threshold, self.low))
+        close = np.flatnonzero(score >= min(self.threshold, self.low, LEVELS[0]))
         for lo in range(0, len(close), 20_000):
             ids = close[lo : lo + 20_000]
             score[ids] = [float(self.table[i] @ v) for i, v in features(w.only(ids))]
             score[ids] += self.bias
         return score
 
+    def hits(self, w: Words, s: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(toxic words, different weaker words) of each of n texts, from the scores of their words."""
+        weak = np.unique(w.text[s >= self.low].astype(np.int64) << 32 | w.which[s >= self.low])
+        return np.bincount(w.text[s >= self.threshold], minlength=n), np.bincount(weak >> 32, minlength=n)
+
     def score(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(highest word score, toxic words, whether it is toxic) of each text; -1 for a text without words."""
         data, off = K.text_buffers(texts)
         n = len(off) - 1
-        best, count, some = np.full(n, -1.0), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        best, count, some, much = np.full(n, -1.0), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
         for lo, hi in K.chunks(off, 2 * K.CHUNK):
             w = words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-            s = self.word_scores(w)[w.which] if len(w.which) else np.zeros(0)
+            each = self.word_scores(w)
+            s = each[w.which] if len(w.which) else np.zeros(0)
             per = np.bincount(w.text, minlength=hi - lo)
             best[lo:hi] = K.segment_reduce(np.maximum, s, per, -1.0)
-            count[lo:hi] = np.bincount(w.text[s >= self.threshold], minlength=hi - lo)
-            weak = np.unique(w.text[s >= self.low].astype(np.int64) << 32 | w.which[s >= self.low])
-            some[lo:hi] = np.bincount(weak >> 32, minlength=hi - lo)
-        return best, count, (count > 0) | (some >= self.least)
+            count[lo:hi], some[lo:hi] = self.hits(w, s, hi - lo)
+            one, whole = self.excesses(self.evidence(w, each), w.text, w.sentence, hi - lo)
+            much[lo:hi] = (one >= self.in_sentence) | (whole >= self.in_text)
+        return best, count, (count > 0) | (some >= self.least) | much
 
 
 def _dense(rows, cols: np.ndarray) -> np.ndarray:
@@ -249,13 +335,97 @@ def train(rows: list[tuple[int, str]], landmarks: int = 384, negatives: int = 50
         pos = np.union1d(strong, witness)
         hard = clean[np.argsort(-score[clean], kind="stable")][: negatives // 2]
         some = np.setdiff1d(np.union1d(some, hard[odds[hard] <= 1.5]), pos)
+    _weigh(best, y, data, off)
     return best
 
 
+def _rates(data: np.ndarray, off: np.ndarray, docs: np.ndarray, known: np.ndarray | None = None):
+    """(keys, documents, sum of rates, sum of their squares) of the terms of these documents; of the known keys only, if given."""
+    got = []
+    for d in docs:
+        w = words(data[off[d] : off[d + 1]], np.array([0, off[d + 1] - off[d]]))
+        if not len(w.which):
+            continue
+        key, rate = [], []
+        for k, _, gap in terms(w):
+            if known is not None and len(known):
+                k = k[known[np.minimum(np.searchsorted(known, k), len(known) - 1)] == k]
+            key.append(k)
+            rate.append(np.full(len(k), _fade(gap) / len(w.which)))
+        key, back = np.unique(np.concatenate(key), return_inverse=True)
+        got.append((key, np.bincount(back.reshape(-1), weights=np.concatenate(rate), minlength=len(key))))
+    if not got:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+    rate = np.concatenate([r for _, r in got])
+    key, back = np.unique(np.concatenate([k for k, _ in got]), return_inverse=True)
+    back = back.reshape(-1)
+    return key, np.bincount(back, minlength=len(key)), np.bincount(back, rate, len(key)), np.bincount(back, rate**2, len(key))
+
+
+def _weigh(model: ToxicityModel, y: np.ndarray, data: np.ndarray, off: np.ndarray) -> None:
+    """Chooses the terms that are surely more frequent in toxic documents, and the excess that makes a text toxic."""
+    nt, nc = int(y.sum()), int((~y).sum())
+    key, docs, one, two = _rates(data, off, np.flatnonzero(y))
+    many = docs >= max(3, nt // 50)
+    key, one, two = key[many], one[many], two[many]
+    clean_one, clean_two = np.zeros(len(key)), np.zeros(len(key))
+    if len(key):
+        k, _, a, b = _rates(data, off, np.flatnonzero(~y), key)
+        at = np.searchsorted(key, k)
+        clean_one[at], clean_two[at] = a, b
+    weight = _surely(one, two, nt, clean_one, clean_two, nc)
+    model.keys, model.weights = key[weight > 0], weight[weight > 0]
+    sums = np.zeros((2, 2, len(LEVELS) + 1))
+    parts, found = [], np.zeros(len(y), bool)
+    for lo, hi in K.chunks(off):
+        w = words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+        score = model.word_scores(w)
+        level = np.searchsorted(LEVELS, score, "right")[w.which]
+        per = np.bincount(w.text, minlength=hi - lo)
+        rate = np.bincount(w.text * (len(LEVELS) + 1) + level, minlength=(hi - lo) * (len(LEVELS) + 1)).reshape(hi - lo, -1) / np.maximum(per, 1)[:, None]
+        for t in (0, 1):
+            mine = rate[y[lo:hi] == t]
+            sums[t] += mine.sum(0), (mine**2).sum(0)
+        count, some = model.hits(w, score[w.which], hi - lo)
+        found[lo:hi] = (count > 0) | (some >= model.least)
+        parts.append((lo, hi, w, score))
+    model.levels = _surely(*sums[1], nt, *sums[0], nc)
+    model.levels[0] = 0
+    parts = [(lo, hi, model.evidence(w, score), w.text, w.sentence) for lo, hi, w, score in parts]
+    clean = np.concatenate([e[~y[lo:hi][text]] for lo, hi, e, text, _ in parts])
+    if len(clean):
+        model.usual = (float(clean.mean()), max(float(clean.var()), 1e-6))
+    one, whole = np.zeros(len(y)), np.zeros(len(y))
+    for lo, hi, e, text, sentence in parts:
+        one[lo:hi], whole[lo:hi] = model.excesses(e, text, sentence, hi - lo)
+    model.in_text = _least(whole, y, found)
+    model.in_sentence = _least(one, y, found | (whole >= model.in_text))
+
+
+def _surely(one, two, n, clean_one, clean_two, clean_n) -> np.ndarray:
+    """Logarithm of how much higher a rate is in toxic documents, from sums and sums of squares; 0 unless surely higher."""
+    mt, mc = one / n, clean_one / clean_n
+    spread = np.sqrt(np.maximum(two / n - mt**2, 0) / n + np.maximum(clean_two / clean_n - mc**2, 0) / clean_n)
+    ratio = np.log(np.maximum(mt, 1e-12) / np.maximum(mc + 0.05 * mt, 1e-12))
+    return np.where((ratio > 1.0) & (mt - mc > 4 * np.maximum(spread, 1e-12)), ratio, 0.0)
+
+
+def _least(excess: np.ndarray, y: np.ndarray, found: np.ndarray, wrong_at_most: float = 0.002) -> float:
+    """The excess, one deviation at least, that best separates the documents not found yet and flags at most this share of the clean ones."""
+    clean, toxic = np.sort(excess[~y & ~found]), np.sort(excess[y & ~found])
+    at = np.unique(np.append(excess[excess > 1], 1.0))
+    mids = np.append(1.0, (at[1:] + at[:-1]) / 2)
+    caught = (len(toxic) - np.searchsorted(toxic, mids)) / y.sum()
+    wrong = (len(clean) - np.searchsorted(clean, mids)) / (~y).sum()
+    gain = np.where(wrong <= wrong_at_most, caught - 4 * wrong, -1)
+    return float(mids[int(np.argmax(gain))]) if gain.max() > 0 else np.inf
+
+
 def _cut(toxic: np.ndarray, clean: np.ndarray, wrong_at_most: float = 0.002) -> float:
     """The score that separates best, among those that flag at most this share of the clean documents."""
     at = np.unique(np.concatenate([toxic, clean, [0.0]]))
-    mids = np.concatenate([[0.0], (at[1:] + at[:-1]) / 2])
+    # the last one flags nothing, for when no score separates
+    mids = np.concatenate([[0.0], (at[1:] + at[:-1]) / 2, [at[-1] + 1]])
     mids = mids[mids >= -0.5]
     t, c = np.sort(toxic), np.sort(clean)
     caught = 1 - np.searchsorted(t, mids) / len(t)
@@ -297,7 +467,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 2000) -> ToxicityMo
 
 def flag(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
     """(doc_id, score, toxic_words, toxic) for every row of docs: toxic if any word scores at least the
-    threshold, or several different words score at least a lower one; both come from training.
+    threshold, several different words score at least a lower one, or the evidence of words and pairs
+    of words in a sentence or in the whole text exceeds a clean text's; all bounds come from training.
 
     A text without words (null, empty, only signs) has score -1 and isn't toxic.  Long texts are
     read whole.  Rows are judged one by one: repeated rows give equal rows, a null doc_id stays

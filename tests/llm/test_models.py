@@ -90,3 +90,30 @@ def test_toxicity_edge_cases(odd, clash, empty, spark):
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
     assert toxicity.fit(odd, labels) is None
     assert [r["toxic"] for r in toxicity.flag(odd.limit(1), None).collect()] == [False]
+
+
+def test_toxicity_of_several_words_and_of_frequent_words():
+    import random
+
+    r = random.Random(8)
+    base = ["w" + "".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(3)) for _ in range(60)]
+    one, two, often = base[0], base[1], base[2]
+
+    def text(kind):
+        # every text holds one, two and often singly; toxic ones hold "one two" in a sentence, or often many times
+        sent = [[r.choice(base[3:]) for _ in range(8)] for _ in range(12)]
+        for i, x in enumerate((one, two, often)):
+            sent[3 * i].insert(r.randrange(8), x)
+        if kind == 1:
+            sent[10][4:4] = [one, two]
+        if kind == 2:
+            for s in sent:
+                s.insert(r.randrange(8), often)
+        return " ".join(" ".join(s) + "." for s in sent)
+
+    rows = [(int(k > 0), text(k)) for k in [0, 0, 0, 0, 1, 2] * 80]
+    model = toxicity.train(rows, landmarks=32, negatives=100)
+    held = [(k, text(k)) for k in [0, 0, 1, 2] * 30]
+    bad = model.score(pa.array([t for _, t in held]))[2]
+    caught = {kind: sum(bool(b) for (k, _), b in zip(held, bad, strict=True) if k == kind) for kind in (0, 1, 2)}
+    assert caught[1] >= 28 and caught[2] >= 28 and caught[0] <= 2
