@@ -91,9 +91,9 @@ def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
     own; texts are searched whole.  Other columns are ignored.
     """
     found = parts(docs).distinct()
-    bucket = F.floor(F.col("start") / reach)
-    secret = found.where("part = 'secret'").select("doc_id", "rid", "rule", "strong", "start", "end", "value", F.explode(F.sequence(bucket - 1, F.floor(F.col("end") / reach) + 1)).alias("b"))
-    other = found.where("part <> 'secret'").select(F.col("doc_id").alias("o_doc"), F.col("rid").alias("o_rid"), "part", F.struct("start", "end", "rule").alias("o"), bucket.alias("o_b"))
+    first, last = F.floor(F.col("start") / reach), F.floor(F.col("end") / reach)
+    secret = found.where("part = 'secret'").select("doc_id", "rid", "rule", "strong", "start", "end", "value", F.explode(F.sequence(first - 1, last + 1)).alias("b"))
+    other = found.where("part <> 'secret'").select(F.col("doc_id").alias("o_doc"), F.col("rid").alias("o_rid"), "part", F.struct("start", "end", "rule").alias("o"), F.explode(F.sequence(first, last)).alias("o_b"))
     gap = F.greatest(F.col("o.start") - F.col("end"), F.col("start") - F.col("o.end"), F.lit(0))
     same = F.col("doc_id").eqNullSafe(F.col("o_doc")) & (F.col("rid") == F.col("o_rid")) & (F.col("b") == F.col("o_b"))
     inside = (F.col("o.start") < F.col("end")) & (F.col("start") < F.col("o.end"))

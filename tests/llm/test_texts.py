@@ -237,3 +237,21 @@ def test_secrets_in_edge_cases(odd, clash, empty, docs_of):
     assert secrets.scan(odd).count() == 0 and secrets.scan(clash).count() == 0 and secrets.scan(empty).count() == 0
     text = f'{KEY} token = "{HEX}"'
     assert secrets.scan(docs_of([(1, text), (1, text), (None, text)])).count() == 2
+
+
+def test_parts_across_bucket_borders_are_linked(docs_of):
+    def at(*placed):
+        text = ""
+        for place, bit in placed:
+            text = text.ljust(place) + bit
+        return text
+
+    url = "https://x.example/" + "a" * 420
+    rows = [
+        (1, at((370, "joe.longer.name.of.a.person@mail.example.com"), (800, f'token = "{HEX}"'))),
+        (2, at((390, url), (1215, f'token = "{HEX}"'))),
+        (3, at((390, url), (1260, f'token = "{HEX}"'))),
+        (4, at((10, f'token = "{HEX}"'), (440, "joe@example.com"))),
+    ]
+    got = {(x["doc_id"], x["rule"], x["start"], x["end"], len(x["identifiers"]) > 0, len(x["endpoints"]) > 0) for x in secrets.scan(docs_of(rows)).collect()}
+    assert got == brute(rows, secrets.REACH) and {g[0] for g in got} == {1, 2, 4}
