@@ -40,7 +40,7 @@ RULES = [
 _COMPILED = [(n, p, s, re.compile(x)) for n, p, s, x in RULES]
 
 #: Only a text with a sign of a secret is searched; linear-time matching over the column.
-_ANY_SECRET = r"(?i)-----BEGIN|gh[pousr]_|xox[abprs]-|eyJ|://[^\s/]*@|secret|token|passw|pwd|[_-]key|apikey|[A-Za-z0-9+/]{40}"
+_ANY_SECRET = r"(?i)-----BEGIN|gh[pousr]_|xox[abprs]-|eyJ|://[^\s/]*@|secret|token|passw|pwd|(?:api|auth|private|[_-])key|[A-Za-z0-9+/]{40}"
 
 PARTS = "doc_id long, rid long, rule string, part string, strong boolean, start long, end long, value string"
 
