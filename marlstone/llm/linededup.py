@@ -87,7 +87,11 @@ class _Sets:
         starts = starts[starts < len(data)]
         line = np.searchsorted(starts, start, "right") - 1
         q = sketch[(h >> np.uint64(64 - bits)).astype(np.int64)] if sketch is not None else np.zeros(len(h), np.uint8)
-        order = np.argsort((line.astype(np.uint64) << np.uint64(44)) | (q.astype(np.uint64) << np.uint64(36)) | (h & np.uint64((1 << 36) - 1)))
+        low = h & np.uint64((1 << 36) - 1)
+        if len(starts) <= 1 << 20:
+            order = np.argsort((line.astype(np.uint64) << np.uint64(44)) | (q.astype(np.uint64) << np.uint64(36)) | low)
+        else:  # the line doesn't fit the key's 20 bits; the order of words must be the same
+            order = np.lexsort((h, low, q, line))
         h, q, line = h[order], q[order], line[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])

@@ -124,3 +124,21 @@ def test_join_in_edge_cases(odd, clash, empty):
     assert kept.columns == odd.columns and 11 not in ids and ids.count(10) == 2 and None in ids and len(ids) == odd.count() - 1
     assert neardup.deduplicate(clash).count() == len(ids)
     assert neardup.join(empty).count() == 0 and neardup.deduplicate(empty).count() == 0
+
+
+def test_a_text_of_more_than_a_million_lines_keeps_its_lines_apart():
+    import numpy as np
+    import pyarrow as pa
+
+    from marlstone.llm import textkernel as K
+    from marlstone.llm.linededup import _Sets
+
+    def sets(text):
+        data, off = K.text_buffers(pa.array([text]))
+        return _Sets(data, off, None, 24)
+
+    many = sets("a b c d\n" + "x\n" * ((1 << 20) - 1) + "e f\na b c d\n")
+    few = sets("a b c d\nx\ne f\na b c d\n")
+    for one, other in ((0, 0), (1, 1), ((1 << 20), 2), ((1 << 20) + 1, 3)):
+        a, b = (x.h[x.at[i] : x.at[i] + x.size[i]] for x, i in ((many, one), (few, other)))
+        assert np.array_equal(a, b) and many.k1[one] == few.k1[other]
