@@ -13,17 +13,18 @@ def _print(e: DataFrame) -> tuple:
     return r["n"], r["h"]
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(id, component): the smallest id reachable over the edges, in either direction.
 
     Nodes that only have edges to themselves are their own component; null ends are ignored.  Each
     round contracts the edges towards their local minimum, so rounds grow with the logarithm of the
-    longest path; every round is written to the shared folder, so no lineage piles up.
+    longest path, and they go on until one changes nothing; every round is written to the shared
+    folder, so no lineage piles up.
     """
     ends = edges.select(F.col(src).alias("x"), F.col(dst).alias("y")).where("x is not null and y is not null")
     e = written(ends.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "components")
     before = _print(e)
-    for _ in range(max_rounds):
+    while True:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         at_u = Window.partitionBy("u").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
         large = both.withColumn("m", F.least("u", F.first("v").over(at_u))).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
