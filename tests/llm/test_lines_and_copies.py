@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pyarrow as pa
 from compare import same_rows
 
 from marlstone.llm import linededup, neardup
@@ -84,8 +85,34 @@ def alike(rows, t):
     return {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b])}
 
 
-def joined(df):
-    return {p for r in df.collect() for p in itertools.combinations(r["docs"], 2)}
+def pairs_of(rows, t, ngram=3, recall=0.98):
+    """The rows that the join must give, by the docstring's rules: the sets' smallest documents, candidates by band."""
+    bands, n_rows = neardup.banding(t, recall)
+    sets, rep = {}, {}
+    for d, x in rows:
+        if g := frozenset(grams(x, ngram)):
+            sets.setdefault(g, set()).add(d)
+    out = set()
+    for g, ds in sets.items():
+        rep[g] = min(ds)
+        out |= {(min(ds), d, 1.0) for d in ds if d != min(ds)}
+    texts = {}
+    for d, x in rows:
+        g = frozenset(grams(x, ngram))
+        if g and rep[g] == d:
+            texts[g] = x
+    order = list(texts)
+    got = list(neardup._signatures(ngram, bands, n_rows)([pa.RecordBatch.from_arrays([pa.array([rep[g] for g in order], pa.int64()), pa.array([texts[g] for g in order], pa.string()), pa.array(range(len(order)), pa.int64())], names=["doc", "text", "rid"])]))
+    keys = {r["rid"]: r["bands"] for b in got for r in b.to_pylist()}
+    for i, j in itertools.combinations(range(len(order)), 2):
+        a, b = order[i], order[j]
+        if any(x == y for x, y in zip(keys[i], keys[j], strict=True)) and len(a & b) >= t * len(a | b) and rep[a] != rep[b]:
+            out.add((min(rep[a], rep[b]), max(rep[a], rep[b]), round(len(a & b) / len(a | b), 6)))
+    return out
+
+
+def found(df):
+    return {(r["doc_a"], r["doc_b"], round(r["jaccard"], 6)) for r in df.collect()}
 
 
 def test_banding_meets_the_recall():
@@ -96,8 +123,16 @@ def test_banding_meets_the_recall():
 
 def test_join_recall_and_precision(documents):
     rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
-    true, got = alike(rows, 0.6), joined(neardup.join(documents))
-    assert got <= true and len(got & true) >= 0.9 * len(true) and true
+    df = neardup.join(documents)
+    got = found(df)
+    assert got == pairs_of(rows, 0.6) and df.columns == ["doc_a", "doc_b", "jaccard"] and len(got) == df.count()
+    # every pair of alike sets, by their smallest documents, but for the share that the banding may miss
+    small = {}
+    for d, x in sorted(rows):
+        small.setdefault(frozenset(grams(x)), d)
+    true = {tuple(sorted((small[frozenset(grams(dict(rows)[a]))], small[frozenset(grams(dict(rows)[b]))]))) for a, b in alike(rows, 0.6)}
+    true = {(a, b) for a, b in true if a != b}
+    assert true and len({(a, b) for a, b, _ in got} & true) >= 0.9 * len(true)
 
 
 def test_large_groups_are_split_and_still_whole(docs_of, monkeypatch):
@@ -110,15 +145,16 @@ def test_large_groups_are_split_and_still_whole(docs_of, monkeypatch):
         for _ in range(2):
             w[r.randrange(len(w))] = f"x{d}"
         rows.append((d, " ".join(w)))
-    got = joined(neardup.join(docs_of(rows)))
+    got = found(neardup.join(docs_of(rows)))
     true = alike(rows, 0.6)
-    assert len(got & true) >= 0.9 * len(true) and got <= true
+    assert got == pairs_of(rows, 0.6) and len(got) >= 0.9 * len(true)
     assert [r["doc_id"] for r in neardup.deduplicate(docs_of(rows)).collect()] == [0]
 
 
 def test_join_in_edge_cases(odd, clash, empty):
     rows = neardup.join(odd).collect()
-    assert [(r["doc_a"], r["doc_b"], r["docs"], r["jaccard"]) for r in rows] == [(10, 11, [10, 11], 1.0)]
+    assert [(r["doc_a"], r["doc_b"], r["jaccard"]) for r in rows] == [(10, 11, 1.0)]
+    assert found(neardup.join(clash)) == {(10, 11, 1.0)}
     kept = neardup.deduplicate(odd)
     ids = [r["doc_id"] for r in kept.collect()]
     assert kept.columns == odd.columns and 11 not in ids and ids.count(10) == 2 and None in ids and len(ids) == odd.count() - 1
@@ -126,6 +162,42 @@ def test_join_in_edge_cases(odd, clash, empty):
     assert neardup.join(empty).count() == 0 and neardup.deduplicate(empty).count() == 0
 
 
+def clusters(seed, n=120):
+    """Chains of ever less alike texts, tight groups, exact copies and texts that share one passage."""
+    r = random.Random(seed)
+    fresh = lambda k: [f"v{r.randrange(10**6)}" for _ in range(k)]
+    passage, rows, base = fresh(30), [], fresh(80)
+    for d in range(n):
+        kind = d % 5
+        if kind == 0:
+            base = base[8:] + fresh(8)
+            w = list(base)
+        elif kind == 1:
+            w = list(base)
+            w[r.randrange(80)] = f"x{d}"
+        elif kind == 2:
+            w = list(base)
+        elif kind == 3:
+            w = fresh(25) + passage + fresh(25)
+        else:
+            w = fresh(r.randrange(1, 6))
+        rows.append((r.randrange(10**6), " ".join(w)))
+    return [*rows, (rows[0][0], rows[2][1]), (rows[0][0], rows[0][1]), (rows[7][0], "quite another text of the same id")]
+
+
+def test_join_and_dedup_equal_brute_force(docs_of, monkeypatch):
+    for seed, block in ((2, 4),):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        rows = clusters(seed)
+        got, want = found(neardup.join(docs_of(rows))), pairs_of(rows, 0.6)
+        assert got == want and len(want) > 50
+        group = {d: d for d, _ in rows}
+        for _ in range(len(rows)):
+            for a, b, _ in want:
+                group[a] = group[b] = min(group[a], group[b])
+        assert sorted(r["doc_id"] for r in neardup.deduplicate(docs_of(rows)).collect()) == sorted(d for d, _ in rows if group[d] == d)
+
+
 def test_a_text_of_more_than_a_million_lines_keeps_its_lines_apart():
     import numpy as np
     import pyarrow as pa
