@@ -31,10 +31,19 @@ def _words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _parts(counts: np.ndarray):
-    for i in range(0, len(counts), _PART):
+    for i in range(0, len(counts), _PART):  # the last part may be shorter
         part = counts[i : i + _PART]
         if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([pa.compress(part.tobytes(), "zstd", asbytes=True)], pa.binary())], names=["at", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([_packed_part(part)], pa.binary())], names=["at", "part"])
+
+
+def _packed_part(part: np.ndarray) -> bytes:
+    """Size in bytes and compressed content."""
+    return part.nbytes.to_bytes(4, "little") + pa.compress(part.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes, kind) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob[4:], int.from_bytes(blob[:4], "little"), "zstd", asbytes=True), kind)
 
 
 def _count(bits: int):
@@ -55,11 +64,11 @@ def _merge(batches):
     held: dict[int, np.ndarray] = {}
     for b in batches:
         for at, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            got = np.frombuffer(pa.decompress(part, 4 * _PART, "zstd", asbytes=True), np.uint32).astype(np.float32)
+            got = _unpacked(part, np.uint32).astype(np.float64)
             held[at] = held[at] + got if at in held else got
     for at, m in held.items():
         q = np.where(m > 0, np.minimum(np.round(8 * np.log2(np.maximum(m, 1))) + 1, 255), 0).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([pa.compress(q.tobytes(), "zstd", asbytes=True)], pa.binary())], names=["at", "part"])
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([_packed_part(q)], pa.binary())], names=["at", "part"])
 
 
 def _sketch(column: DataFrame, count, bits: int):
@@ -67,7 +76,7 @@ def _sketch(column: DataFrame, count, bits: int):
     parts = column.mapInArrow(lean(count), "at long, part binary").repartition("at").mapInArrow(lean(_merge), "at long, part binary").toArrow()
     sketch = np.zeros(1 << bits, np.uint8)
     for at, part in zip(parts.column(0).to_pylist(), parts.column(1).to_pylist(), strict=True):
-        sketch[at : at + _PART] = np.frombuffer(pa.decompress(part, _PART, "zstd", asbytes=True), np.uint8)
+        sketch[at : at + _PART] = _unpacked(part, np.uint8)
     return column.sparkSession.sparkContext.broadcast(sketch)
 
 
@@ -174,11 +183,6 @@ def _needed_sets(filt, bits: int):
     return run
 
 
-def _packed(line, n, entry):
-    """Line number, size and place in one long."""
-    return F.shiftleft(line.cast("long"), 40).bitwiseOR(F.shiftleft(F.least(n, F.lit((1 << 24) - 1)).cast("long"), 16)).bitwiseOR(entry.bitwiseAND(0xFFFF))
-
-
 def _place(doc: str, line: str):
     """One long for a line's place; places that share it only cost time."""
     return F.shiftleft(F.col(doc), 20).bitwiseXOR(F.col(line).cast("long"))
@@ -201,10 +205,10 @@ def removals(docs: DataFrame, threshold: float = 0.8, bits: int = 24) -> DataFra
 
     entry = (
         kept.select("doc", "parity", "line", "n", F.explode("prefix").alias("e"))
-        .select(F.shiftright("e", 16).alias("tok"), "doc", "parity", _packed(F.col("line"), F.col("n"), F.col("e")).alias("p"))
-        .repartition("tok")
+        # line and size in one long; the place is a bound from below, so 16 bits do for any line
+        .select(F.shiftright("e", 16).alias("tok"), "doc", "parity", F.shiftleft(F.col("line").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias("p"), F.col("e").bitwiseAND(0xFFFF).cast("int").alias("pos"))
     )
-    side = lambda x: entry.select("tok", *(F.col(c).alias(f"{x}_{c}") for c in ("doc", "parity")), F.shiftright("p", 40).cast("int").alias(f"{x}_line"), F.shiftright("p", 16).bitwiseAND((1 << 24) - 1).cast("int").alias(f"{x}_n"), F.col("p").bitwiseAND(0xFFFF).cast("int").alias(f"{x}_pos"))
+    side = lambda x: entry.select("tok", *(F.col(c).alias(f"{x}_{c}") for c in ("doc", "parity", "pos")), F.shiftright("p", 32).cast("int").alias(f"{x}_line"), F.col("p").bitwiseAND(2**32 - 1).cast("int").alias(f"{x}_n"))
     x, y = side("x"), side("y")
     need = F.ceil(F.lit(t / (1 + t)) * (F.col("x_n") + F.col("y_n")) - 1e-9)
     alike = (

@@ -46,11 +46,23 @@ def test_lines_equal_brute_force(docs_of):
 
 
 def test_a_saturated_sketch_changes_nothing(docs_of):
+    # some 60 words in 4 buckets
     rows = noisy(3)
-    got = {r["doc_id"]: r["text"] for r in linededup.clean(docs_of(rows), 0.8, bits=18, drop_emptied=False).collect()}
+    got = {r["doc_id"]: r["text"] for r in linededup.clean(docs_of(rows), 0.8, bits=2, drop_emptied=False).collect()}
     assert got == lines_left(rows, 0.8)
 
 
+def test_lines_and_sizes_of_any_number_are_told_apart(docs_of):
+    n = (1 << 23) + 5
+    text = "\n" * n + "alpha beta gamma delta epsilon"
+    rows = [(1, text), (2, "alpha beta gamma delta epsilon\nzeta eta theta")]
+    got = {r["doc_id"]: (r["removed"], r["text"]) for r in linededup.report(docs_of(rows), 0.7).collect()}
+    assert got[1] == (0, text) and got[2] == (1, "zeta eta theta")
+    near = [(1, "\n" * n + "alpha beta gamma delta epsilon\nalpha beta gamma delta zeta"), (2, "one two")]
+    got = {r["doc_id"]: r["removed"] for r in linededup.report(docs_of(near), 0.6).collect()}
+    assert got == {1: 1, 2: 0}
+
+
 def test_lines_agree_with_sql(spark, sf, duck):
     from marlstone.llm.queries import ORACLES, QUERIES
 
