@@ -16,6 +16,8 @@ as one space.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +28,8 @@ from .common import bounded_batches, lean
 
 Q = 8
 _M = np.uint64(0x9E3779B97F4A7C15)
-_BITS = 20
+#: The first test's bits: so many for each distinct q-gram of a slice, at least and at most 2 to the power of these.
+SPARSE, LEAST_BITS, MOST_BITS = 32, 16, 28
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = True
 _WORD[128:] = True
@@ -101,8 +104,14 @@ class Index:
         gram, win, pos = cat(gram, np.uint64), cat(win, np.int64), cat(pos, np.int64)
         order = np.argsort(gram, kind="stable")
         self.gram, self.win, self.pos = gram[order], win[order], pos[order]
-        self.member = np.zeros(1 << _BITS, bool)
-        self.member[(self.gram * _M) >> np.uint64(64 - _BITS)] = True
+        # one in SPARSE strange q-grams passes the first test, whatever the benchmark's size
+        distinct = 1 + int((self.gram[1:] != self.gram[:-1]).sum()) if len(self.gram) else 0
+        self.bits = min(MOST_BITS, max(LEAST_BITS, (SPARSE * distinct).bit_length()))
+        self.member = np.zeros((1 << self.bits) // 8, np.uint8)
+        at = (self.gram * _M) >> np.uint64(64 - self.bits)
+        np.bitwise_or.at(self.member, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        #: Diagonals are counted from here, so that none is negative.
+        self.shift = int(size.max()) + 1 if len(size) else 1
         #: (length, least count) of each kind of window, for the first test.
         self.kinds = sorted({(int(s), int(n), int(e)) for s, n, e in zip(size, self.need, self.k, strict=True)})
 
@@ -129,7 +138,8 @@ class Index:
         g = _grams(data)
         if not len(g) or not len(self.gram):
             return []
-        hit = self.member[(g * _M) >> np.uint64(64 - _BITS)]
+        slot = (g * _M) >> np.uint64(64 - self.bits)
+        hit = (self.member[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
         for back in range(1, Q):  # q-grams don't reach into the next text
             at = off[1:-1] - back
             hit[at[(at >= 0) & (at < len(hit))]] = False
@@ -141,10 +151,10 @@ class Index:
         place = np.repeat(at, count)
         row = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
         win, text = self.win[row], np.searchsorted(off, place, "right") - 1
-        diag = place - self.pos[row] + Q * 0
+        diag = place - self.pos[row]
         # bands of 2 (k + 1) diagonals, one every k + 1
         width = self.k[win] + 1
-        band = (diag + (1 << 20)) // width
+        band = (diag + self.shift) // width
         win, text, band, place = (np.concatenate([x, x]) for x in (win, text, band, place))
         band[len(band) // 2 :] -= 1
         key = np.lexsort((place, band, win, text))
@@ -157,7 +167,7 @@ class Index:
         cands = []
         for h in heads[good]:
             k = int(self.k[win[h]])
-            first = int(band[h]) * (k + 1) - (1 << 20)
+            first = int(band[h]) * (k + 1) - self.shift
             cands.append((int(text[h]), int(win[h]), first, first + 2 * (k + 1) - 1))
         return self._verify(data, off, cands)
 
@@ -191,7 +201,8 @@ def align(data: np.ndarray, pat: np.ndarray, base: np.ndarray, lo: np.ndarray, h
     """
     n, m = pat.shape
     d = np.arange(wide)
-    far = 10_000
+    far = 1 << 30
+    low = int(wide).bit_length()
     place = base[:, None] + d
     inside = (place >= lo[:, None]) & (place <= hi[:, None])
     cost = np.where(inside, 0, far)
@@ -208,10 +219,10 @@ def align(data: np.ndarray, pat: np.ndarray, base: np.ndarray, lo: np.ndarray, h
         up_o[:, :-1] = origin[:, 1:]
         new, o = np.where(up < diag, up, diag), np.where(up < diag, up_o, origin)
         # signs of the text that the pattern lacks: from the left in the same row, a running minimum
-        score = (new - d) * 4096 + d
+        score = ((new - d) << low) + d
         run = np.minimum.accumulate(score, axis=1)
-        src = run & 4095
-        left = (run >> 12) + d
+        src = run & ((1 << low) - 1)
+        left = (run >> low) + d
         better = left < new
         new = np.where(better, left, new)
         o = np.where(better, np.take_along_axis(o, src, 1), o)
@@ -263,17 +274,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 100, step: int =
     bounded_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = max(1, -(-size // slice_bytes))
     out = None
-    for i in range(slices):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == i).orderBy("item_id", "text").collect()
-        held = docs.sparkSession.sparkContext.broadcast(Index([(r[0], r[1]) for r in rows], window, step, rate))
-        part = src.mapInArrow(lean(_scan(held)), SCHEMA)
+    for index in _slices(items, window, step, rate, slice_bytes):
+        part = src.mapInArrow(lean(_scan(docs.sparkSession.sparkContext.broadcast(index))), SCHEMA)
         out = part if out is None else out.unionAll(part)
     return out
 
 
+def _slices(items: DataFrame, window: int, step: int, rate: float, slice_bytes: int) -> Iterator[Index]:
+    """Indexes of about ``slice_bytes`` of text each; items that share an id are in one."""
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slices = max(1, -(-size // slice_bytes))
+    for i in range(slices):
+        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == i).orderBy("item_id", "text").collect()
+        yield Index([(r[0], r[1]) for r in rows], window, step, rate)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """docs without those that hold a passage of the benchmark; all columns as they are.
 
@@ -282,14 +298,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     bounded_batches(docs.sparkSession)
     at = docs.columns.index("text")
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null")
-    slice_bytes = how.pop("slice_bytes", 8 << 20)
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = max(1, -(-size // slice_bytes))
-    args = {"window": 100, "step": 20, "rate": 0.06} | how
-    for i in range(slices):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == i).orderBy("item_id", "text").collect()
-        held = docs.sparkSession.sparkContext.broadcast(Index([(r[0], r[1]) for r in rows], **args))
-        docs = docs.mapInArrow(lean(_keep(held, at)), docs.schema)
+    for index in _slices(items, **({"window": 100, "step": 20, "rate": 0.06, "slice_bytes": 8 << 20} | how)):
+        docs = docs.mapInArrow(lean(_keep(docs.sparkSession.sparkContext.broadcast(index), at)), docs.schema)
     return docs
 
 
