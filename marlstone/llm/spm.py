@@ -12,6 +12,7 @@ worker, and the ids are the same as those of the whole text.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import os
 from dataclasses import dataclass
@@ -73,6 +74,10 @@ class Model:
     dummy_prefix: bool
     trim: bool
 
+    def key(self) -> bytes:
+        """Differs between any two models that encode differently."""
+        return hashlib.sha256(b"%d %d %d " % (self.dummy_prefix, self.trim, len(self.proto)) + self.proto + self.charsmap).digest()
+
     @classmethod
     def load(cls, path: str) -> Model:
         from sentencepiece import sentencepiece_model_pb2 as pb
@@ -247,7 +252,7 @@ _encoders: dict[bytes, Encoder] = {}
 
 def encoder(model: Model) -> Encoder:
     """This process's encoder of the model."""
-    key = model.proto[-64:] + model.charsmap[:64]
+    key = model.key()
     if key not in _encoders:
         _encoders[key] = Encoder(model)
     return _encoders[key]
