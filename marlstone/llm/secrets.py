@@ -24,18 +24,18 @@ REACH = 400
 #: (name, part, strong, pattern; the value is the first group, or all of it).
 RULES = [
     ("private_key", "secret", True, r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP |ENCRYPTED )?PRIVATE KEY(?: BLOCK)?-----"),
-    ("source_host_token", "secret", True, r"\b(gh[pousr]_[A-Za-z0-9]{36,255})\b"),
-    ("chat_token", "secret", True, r"\b(xox[abprs]-[A-Za-z0-9-]{10,250})"),
+    ("source_host_token", "secret", True, r"\b(gh[pousr]_[A-Za-z0-9]{36,})\b"),
+    ("chat_token", "secret", True, r"\b(xox[abprs]-[A-Za-z0-9-]{10,})"),
     ("signed_token", "secret", True, r"\b(eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})"),
-    ("url_with_password", "secret", True, r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,100}:([^\s:/@]{3,100})@[^\s/]+"),
-    ("assigned_secret", "secret", False, r"(?i)\b(?:[a-z0-9_.-]{0,40}?(?:secret(?:[_-]?(?:access[_-]?)?key)?|token|passw(?:or)?d|passwd|pwd|(?:api|auth|private)[_-]?key))\b[\"']?\s{0,3}(?::=|=>|=|:)\s{0,3}[\"']?([^\s\"',;]{8,200})"),
+    ("url_with_password", "secret", True, r"(?<![a-z0-9+.-])[a-z0-9+.-]+://[^\s:/@]+:([^\s:/@]{3,})@[^\s/]+"),
+    ("assigned_secret", "secret", False, r"(?i)(?:secret(?:[_-]?(?:access[_-]?)?key)?|token|passw(?:or)?d|passwd|pwd|(?:api|auth|private)[_-]?key)\b[\"']?\s{0,3}(?::=|=>|=|:)\s{0,3}[\"']?([^\s\"',;]{8,})"),
     ("long_base64", "secret", False, r"(?<![A-Za-z0-9+/=_-])([A-Za-z0-9+/]{40})(?![A-Za-z0-9+/=_-])"),
     ("cloud_key_id", "identifier", False, r"\b((?:AKIA|ASIA|AROA|AIDA)[0-9A-Z]{16})\b"),
-    ("assigned_id", "identifier", False, r"(?i)\b(?:client[_-]?id|access[_-]?key[_-]?id|account[_-]?id|user(?:name)?|login|tenant[_-]?id)\b[\"']?\s{0,3}(?::=|=>|=|:)\s{0,3}[\"']?([^\s\"',;]{3,100})"),
-    ("mail_address", "identifier", False, r"\b([A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,6})\b"),
-    ("url", "endpoint", False, r"\b((?:https?|wss?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{3,500})"),
+    ("assigned_id", "identifier", False, r"(?i)\b(?:client[_-]?id|access[_-]?key[_-]?id|account[_-]?id|user(?:name)?|login|tenant[_-]?id)\b[\"']?\s{0,3}(?::=|=>|=|:)\s{0,3}[\"']?([^\s\"',;]{3,})"),
+    ("mail_address", "identifier", False, r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)\b"),
+    ("url", "endpoint", False, r"\b((?:https?|wss?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{3,})"),
     ("ip_address", "endpoint", False, r"(?<![\d.])((?:\d{1,3}\.){3}\d{1,3}(?::\d{1,5})?)(?![\d.])"),
-    ("assigned_host", "endpoint", False, r"(?i)\b(?:host(?:name)?|server|endpoint|base[_-]?url)\b[\"']?\s{0,3}(?:=|:)\s{0,3}[\"']?([A-Za-z0-9][A-Za-z0-9.-]{2,200}(?::\d{1,5})?)"),
+    ("assigned_host", "endpoint", False, r"(?i)\b(?:host(?:name)?|server|endpoint|base[_-]?url)\b[\"']?\s{0,3}(?:=|:)\s{0,3}[\"']?([A-Za-z0-9][A-Za-z0-9.-]{2,}(?::\d{1,5})?)"),
 ]
 _COMPILED = [(n, p, s, re.compile(x)) for n, p, s, x in RULES]
 
