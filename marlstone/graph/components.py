@@ -30,7 +30,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         large = both.withColumn("m", F.least("u", F.first("v").over(at_u))).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         at_a = Window.partitionBy("a").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
         small = large.withColumn("m", F.first("b").over(at_a)).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        e = written(small.select("e.a", "e.b").where("a <> b").distinct(), "components")
+        e = written(small.select("e.a", "e.b").where("a <> b").distinct(), "components", instead_of=e)
         now = _print(e)
         if now == before:
             break

@@ -11,21 +11,22 @@ from pyspark.sql import functions as F
 from ..plans.relational import views
 from .view import GraphView
 
-PAY = "SELECT o_custkey AS src, 1000000 + l_suppkey AS dst, round(sum(l_extendedprice), 2) AS weight FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey < 4000 GROUP BY o_custkey, 1000000 + l_suppkey"
-FLOW = "SELECT CAST(s_nationkey AS BIGINT) AS src, CAST(c_nationkey AS BIGINT) AS dst, CAST(min(o_orderkey % 97) + 1 AS DOUBLE) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE (s_nationkey * 7 + c_nationkey) % 5 = 0 AND l_orderkey < 4000 GROUP BY s_nationkey, c_nationkey"
-SPARSE = "SELECT l_suppkey % 211 AS src, l_partkey % 199 AS dst, CAST(count(*) AS DOUBLE) AS weight FROM lineitem WHERE l_orderkey % 397 = 5 AND l_orderkey < 15000 GROUP BY l_suppkey % 211, l_partkey % 199"
+PAY = "SELECT o_custkey AS src, 1000000 + l_suppkey AS dst, round(sum(l_extendedprice), 2) AS weight FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey, 1000000 + l_suppkey"
+FLOW = "SELECT CAST(s_nationkey AS BIGINT) AS src, CAST(c_nationkey AS BIGINT) AS dst, CAST(count(*) % 97 + 1 AS DOUBLE) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE (s_nationkey * 7 + c_nationkey) % 5 = 0 GROUP BY s_nationkey, c_nationkey"
+SPARSE = "SELECT o_custkey AS src, (l_partkey * 31 + l_suppkey * 7) % (SELECT count(*) FROM customer) AS dst, CAST(count(*) AS DOUBLE) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 20 = 5 GROUP BY 1, 2"
+DENSE = "SELECT o_custkey AS src, (l_partkey * 31 + l_suppkey * 7) % (SELECT count(*) FROM customer) AS dst, CAST(1 AS DOUBLE) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 3 = 1 GROUP BY 1, 2"
 DAG = "SELECT src, dst, weight FROM (" + SPARSE + ") q WHERE src < dst"
 
 
 def _graph(sql: str):
     def of(spark: SparkSession, sf_dir: str) -> GraphView:
-        views(spark, sf_dir)
+        views(spark, sf_dir, sql)
         return GraphView.frozen(spark.sql(sql))
 
     return of
 
 
-pay, flow, sparse, dag = map(_graph, (PAY, FLOW, SPARSE, DAG))
+pay, flow, sparse, dense, dag = map(_graph, (PAY, FLOW, SPARSE, DENSE, DAG))
 
 
 def g_counts(spark, d) -> DataFrame:
@@ -88,7 +89,7 @@ def g_cycles(spark, d) -> DataFrame:
 
 
 def g_triangles(spark, d) -> DataFrame:
-    return flow(spark, d).triangle_count()
+    return dense(spark, d).triangle_count()
 
 
 def g_degree_centrality(spark, d) -> DataFrame:
@@ -104,7 +105,7 @@ def g_betweenness(spark, d) -> DataFrame:
 
 
 def g_label_propagation(spark, d) -> DataFrame:
-    return sparse(spark, d).label_propagation()
+    return flow(spark, d).label_propagation()
 
 
 def g_kcore(spark, d) -> DataFrame:
@@ -179,7 +180,50 @@ def _labels(steps: int) -> list[tuple[str, str]]:
     return out
 
 
+def _paths(limit: int) -> list[tuple[str, str]]:
+    """(source, id, hops, ways): fewest hops and the number of such paths, level by level."""
+    out = [("p0", "SELECT id AS source, id, CAST(0 AS BIGINT) AS hops, CAST(1 AS DOUBLE) AS ways FROM v"), ("a0", "SELECT * FROM p0")]
+    for i in range(limit):
+        out.append((f"p{i + 1}", f"SELECT p.source, e.dst AS id, CAST({i + 1} AS BIGINT) AS hops, sum(p.ways) AS ways FROM p{i} p JOIN e ON e.src = p.id AND e.src <> e.dst WHERE NOT EXISTS (SELECT 1 FROM a{i} a WHERE a.source = p.source AND a.id = e.dst) GROUP BY p.source, e.dst"))
+        out.append((f"a{i + 1}", f"SELECT * FROM a{i} UNION ALL SELECT * FROM p{i + 1}"))
+    return out
+
+
+def _cores(steps: int) -> list[tuple[str, str]]:
+    """Estimates fall to the h-index of the neighbours'."""
+    out = [("u", "SELECT src AS id, dst AS nb FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst"), ("c0", "SELECT v.id, (SELECT count(*) FROM u WHERE u.id = v.id) AS core FROM v")]
+    for i in range(steps):
+        out.append((f"q{i + 1}", f"SELECT u.id, c.core, row_number() OVER (PARTITION BY u.id ORDER BY c.core DESC) AS r FROM u JOIN c{i} c ON c.id = u.nb"))
+        out.append((f"c{i + 1}", f"SELECT c.id, least(c.core, coalesce((SELECT max(least(q.r, q.core)) FROM q{i + 1} q WHERE q.id = c.id), 0)) AS core FROM c{i} c"))
+    return out
+
+
+def _clearing(steps: int) -> list[tuple[str, str]]:
+    out = [
+        ("owed", "SELECT src AS id, sum(weight) AS nominal FROM e WHERE src <> dst GROUP BY src"),
+        ("bank", "SELECT v.id, v.id % 7 * 10.0 AS assets, coalesce(owed.nominal, 0) AS nominal FROM v LEFT JOIN owed ON owed.id = v.id"),
+        ("y0", "SELECT id, nominal AS pay FROM bank"),
+    ]
+    for i in range(steps):
+        out.append((f"y{i + 1}", f"SELECT b.id, greatest(0.0, least(b.nominal, b.assets + coalesce((SELECT sum(y.pay * e.weight / o.nominal) FROM e JOIN y{i} y ON y.id = e.src JOIN owed o ON o.id = e.src WHERE e.dst = b.id AND e.src <> e.dst), 0))) AS pay FROM bank b"))
+    return out
+
+
+def _in_turn(rounds: int) -> list[tuple[str, str]]:
+    """Labels of all vertices as a list; each step updates one vertex, in order of ids."""
+    return [
+        ("ix", "SELECT id, row_number() OVER (ORDER BY id) AS i FROM v"),
+        ("nb", "SELECT a.i AS x, b.i AS y FROM e JOIN ix a ON a.id = e.src JOIN ix b ON b.id = e.dst UNION ALL SELECT b.i, a.i FROM e JOIN ix a ON a.id = e.src JOIN ix b ON b.id = e.dst"),
+        ("near", "SELECT x, list(y) AS ys FROM nb GROUP BY x"),
+        ("lp", f"RECURSIONSELECT CAST(0 AS BIGINT) AS step, (SELECT list(i - 1 ORDER BY i) FROM ix) AS ls UNION ALL SELECT step + 1, list_transform(range(1, len(ls) + 1), lambda j: CASE WHEN j = n.x THEN (list_sort(list_transform(list_distinct(list_transform(n.ys, lambda y: ls[y])), lambda l: struct_pack(c := -len(list_filter(n.ys, lambda y: ls[y] = l)), l := l))))[1].l ELSE ls[j] END) FROM lp JOIN near n ON n.x = step % (SELECT count(*) FROM ix) + 1 WHERE step < {rounds} * (SELECT count(*) FROM ix)"),
+    ]
+
+
 ORACLES = {
+    "g_betweenness": _with(FLOW, *_paths(8)) + " SELECT v.id, round(coalesce((SELECT sum(x.ways * y.ways / z.ways) FROM a8 x JOIN a8 y ON x.id = y.source JOIN a8 z ON z.source = x.source AND z.id = y.id WHERE x.id = v.id AND x.source <> v.id AND y.id <> v.id AND x.source <> y.id AND x.hops + y.hops = z.hops), 0.0), 6) AS centrality FROM v",
+    "g_kcore": _with(FLOW, *_cores(12)) + " SELECT id, CAST(core AS BIGINT) AS core FROM c12",
+    "g_label_propagation": _with(FLOW, *_in_turn(10)) + " SELECT ix.id, (SELECT arg_max(ls, step) FROM lp)[ix.i] AS label FROM ix",
+    "g_eisenberg_noe": _with(FLOW, *_clearing(60)) + " SELECT b.id, round(y.pay, 5) AS payment, round(greatest(0.0, b.assets + coalesce((SELECT sum(z.pay * e.weight / o.nominal) FROM e JOIN y60 z ON z.id = e.src JOIN owed o ON o.id = e.src WHERE e.dst = b.id AND e.src <> e.dst), 0) - y.pay), 5) AS equity, y.pay + 1e-6 < b.nominal AS defaulted FROM bank b JOIN y60 y ON y.id = b.id",
     "g_counts": _with(PAY) + " SELECT (SELECT count(*) FROM v) AS nodes, (SELECT count(*) FROM e) AS edges",
     "g_degrees": _with(PAY) + " SELECT id, (SELECT count(*) FROM e WHERE src = id) AS out_degree, (SELECT count(*) FROM e WHERE dst = id) AS in_degree FROM v",
     "g_out_neighbors": _with(PAY) + " SELECT dst AS id FROM e WHERE src = 7",
@@ -194,7 +238,7 @@ ORACLES = {
     "g_wcc": _with(SPARSE, *_labels(40)) + " SELECT id, dense_rank() OVER (ORDER BY m) - 1 AS component FROM l40",
     "g_scc": _with(SPARSE, _REACH, _SCC) + " SELECT id, component FROM scc",
     "g_cycles": _with(SPARSE, _REACH, _SCC) + " SELECT component, list_sort(list(id)) AS members FROM scc GROUP BY component HAVING count(*) >= 2",
-    "g_triangles": _with(FLOW, ("u", "SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e WHERE src <> dst")) + " SELECT count(*) AS triangles FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b",
+    "g_triangles": _with(DENSE, ("u", "SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e WHERE src <> dst")) + " SELECT count(*) AS triangles FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b",
     "g_degree_centrality": _with(PAY) + " SELECT id, round(((SELECT count(*) FROM e WHERE src = id) + (SELECT count(*) FROM e WHERE dst = id)) / CAST(greatest((SELECT count(*) FROM v) - 1, 1) AS DOUBLE), 9) AS centrality FROM v",
     "g_closeness": _with(FLOW, _hops(12), ("m", "SELECT source, id, min(hops) AS hops FROM h GROUP BY source, id")) + " SELECT source AS id, round(CASE WHEN sum(hops) > 0 THEN (count(*) - 1) / CAST(sum(hops) AS DOUBLE) ELSE 0.0 END, 9) AS centrality FROM m GROUP BY source",
     "g_common_neighbors": _with(PAY) + " SELECT dst AS id FROM e WHERE src = 7 INTERSECT SELECT dst FROM e WHERE src = 10",

@@ -85,12 +85,12 @@ class GraphView:
             seen = seen.unionAll(front.select("id"))
         return None
 
-    def _costs(self, source: int) -> DataFrame:
-        """(id, cost, path): relaxed until nothing changes; only vertices that improved are relaxed again."""
-        best = written(self.vertices().where(F.col("id") == source).select("id", F.lit(0.0).alias("cost"), F.array("id").alias("path")), "costs")
+    def _costs(self, source: int, paths: bool) -> DataFrame:
+        """(id, cost, path): relaxed until nothing changes; only vertices that improved are relaxed again.  Without ``paths`` they stay empty."""
+        best = written(self.vertices().where(F.col("id") == source).select("id", F.lit(0.0).alias("cost"), (F.array("id") if paths else F.array().cast("array<long>")).alias("path")), "costs")
         front = best
         while not front.isEmpty():
-            step = front.join(self.edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (F.col("cost") + F.greatest("weight", F.lit(0.0))).alias("cost"), F.concat("path", F.array("dst")).alias("path"))
+            step = front.join(self.edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (F.col("cost") + F.greatest("weight", F.lit(0.0))).alias("cost"), (F.concat("path", F.array("dst")) if paths else F.col("path")).alias("path"))
             step = step.groupBy("id").agg(F.min(F.struct("cost", "path")).alias("n")).select("id", F.col("n.cost").alias("n_cost"), F.col("n.path").alias("n_path"))
             both = written(best.join(step, "id", "full").withColumn("better", F.col("n_cost").isNotNull() & (F.col("cost").isNull() | (F.col("n_cost") < F.col("cost")))), "costs")
             pick = lambda c: F.when(F.col("better"), F.col(f"n_{c}")).otherwise(F.col(c)).alias(c)
@@ -100,10 +100,10 @@ class GraphView:
 
     def dijkstra(self, source: int) -> DataFrame:
         """(id, cost) of the cheapest way to every reachable vertex; a negative weight counts as 0."""
-        return self._costs(source).select("id", "cost")
+        return self._costs(source, False).select("id", "cost")
 
     def weighted_shortest_path(self, a: int, b: int) -> tuple[list[int], float] | None:
-        row = self._costs(a).where(F.col("id") == b).first()
+        row = self._costs(a, True).where(F.col("id") == b).first()
         return (list(row["path"]), row["cost"]) if row else None
 
     def topological_order(self) -> DataFrame | None:
@@ -144,9 +144,12 @@ class GraphView:
         n = nodes.count()
         return self._rank(nodes.withColumn("base", F.lit(1.0 / n if n else 0.0)), iterations, damping)
 
-    def personalized_pagerank(self, seeds: list[int], iterations: int = 40, damping: float = 0.85) -> DataFrame:
-        """(id, rank) with teleports and lost rank going back to the known seeds; empty without any."""
-        nodes = written(self.vertices().withColumn("seed", F.col("id").isin(*seeds) if seeds else F.lit(False)), "nodes")
+    def personalized_pagerank(self, seeds: list[int] | DataFrame, iterations: int = 40, damping: float = 0.85) -> DataFrame:
+        """(id, rank) with teleports and lost rank going back to the known seeds, a list or a table of (id); empty without any."""
+        if isinstance(seeds, list):
+            seeds = self.spark.createDataFrame([(int(s),) for s in seeds], "id long")
+        known = seeds.select(F.col("id").cast("long").alias("id")).distinct().withColumn("_s", F.lit(True))
+        nodes = written(self.vertices().join(known, "id", "left").select("id", F.coalesce("_s", F.lit(False)).alias("seed")), "nodes")
         k = nodes.where("seed").count()
         if not k:
             return nodes.limit(0).select("id", F.lit(0.0).alias("rank"))
@@ -160,10 +163,18 @@ class GraphView:
 
     # components and communities
     def connected_components(self) -> DataFrame:
-        """(id, component): 0, 1, ... by the smallest id of each weakly connected component."""
-        found = connected_components(self.edges)
-        roots = found.select("component").distinct().withColumn("dense", F.dense_rank().over(Window.orderBy("component")) - 1)
-        return found.join(roots, "component").select("id", F.col("dense").cast("long").alias("component"))
+        """(id, component): 0, 1, ... by the smallest id of each weakly connected component.
+
+        Roots are numbered by ranges: each range counts its own, and only the ranges' sums are added
+        up in one place.
+        """
+        found = written(connected_components(self.edges), "wcc")
+        roots = found.select("component").distinct()
+        ranged = written(roots.repartitionByRange("component").select("component", F.spark_partition_id().alias("part")), "roots")
+        sums = ranged.groupBy("part").count().withColumn("before", F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+        dense = ranged.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("component"))).join(F.broadcast(sums), "part")
+        dense = dense.select("component", (F.coalesce("before", F.lit(0)) + F.col("at") - 1).cast("long").alias("dense"))
+        return found.join(dense, "component").select("id", F.col("dense").alias("component"))
 
     def strongly_connected_components(self) -> DataFrame:
         """(id, component): the smallest id of each strongly connected component.
@@ -225,12 +236,11 @@ class GraphView:
         return wedge.join(o, ["s", "t"]).agg(F.count("*").alias("triangles"))
 
     def label_propagation(self, iterations: int = 10) -> DataFrame:
-        """(id, label): labels are dense indices by ascending id, updated in place in that order.
+        """(id, label): labels are dense indices by ascending id, updated in place in that order; see ``label_rounds`` for graphs of any size.
 
         Each vertex takes the commonest label among its out- and in-neighbours (an edge both ways
         counts twice), ties to the lowest, until nothing changes.  The order of updates is part of
-        the result, so one task holds the whole graph; use connected components or k-core for
-        graphs that don't fit one.
+        the result, so one task holds the whole graph.
         """
 
         def run(pdf):
@@ -258,6 +268,24 @@ class GraphView:
 
         return self.edges.select("src", "dst", F.lit(1).alias("all")).groupBy("all").applyInPandas(lambda pdf: run(pdf), "id long, label long")
 
+    def label_rounds(self, iterations: int = 10) -> DataFrame:
+        """(id, label): label propagation in rounds, all vertices at once and without one place for the whole graph.
+
+        Labels start as the vertices' ids.  In each round every vertex takes the commonest label among
+        itself and its out- and in-neighbours (an edge both ways counts twice), ties to the lowest,
+        until nothing changes or the rounds are over.
+        """
+        near = written(self.edges.select(F.col("src").alias("id"), F.col("dst").alias("nb")).unionAll(self.edges.select(F.col("dst").alias("id"), F.col("src").alias("nb"))).unionAll(self.vertices().select("id", F.col("id").alias("nb"))), "labels")
+        label = written(self.vertices().select("id", F.col("id").alias("label")), "labels")
+        for _ in range(iterations):
+            seen = near.join(label.withColumnRenamed("id", "nb"), "nb").groupBy("id", "label").agg(F.count("*").alias("n"))
+            best = seen.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("c"), "label")).alias("b"))
+            both = written(label.withColumnRenamed("label", "was").join(best, "id").select("id", F.col("b.label").alias("label"), (F.col("b.label") != F.col("was")).alias("moved")), "labels", instead_of=label)
+            label = both.select("id", "label")
+            if both.where("moved").isEmpty():
+                break
+        return label
+
     def k_core(self) -> DataFrame:
         """(id, core): core numbers of the undirected graph; a vertex with only loops has 0.
 
@@ -329,11 +357,28 @@ class GraphView:
         r = both.agg(F.count("*").alias("u"), F.coalesce(F.sum((F.col("n") == (1 if a == b else 2)).cast("int")), F.lit(0)).alias("i")).first()
         return r["i"] / r["u"] if r["u"] else 0.0
 
-    def similar_pairs(self) -> DataFrame:
-        """(a, b, shared, jaccard) of all pairs of vertices that point to a common one."""
+    def similar_pairs(self, least: float = 0.0) -> DataFrame:
+        """(a, b, shared, jaccard) of all pairs of vertices that point to a common one, at least ``least`` alike.
+
+        With a ``least`` above 0 only each vertex's targets of lowest in-degree meet, as many as two such
+        sets must share one of (prefix filter), so that a target of many doesn't make all their pairs.
+        """
         deg = self.edges.groupBy("src").count()
-        x, y = self.edges.select(F.col("src").alias("a"), "dst"), self.edges.select(F.col("src").alias("b"), "dst")
-        shared = x.join(y, "dst").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+        meet = self.edges.select("src", "dst")
+        if least > 0:
+            into = self.edges.groupBy("dst").agg(F.count("*").alias("n"))
+            w = Window.partitionBy("src")
+            rare = meet.join(into, "dst").withColumn("r", F.row_number().over(w.orderBy("n", "dst"))).withColumn("d", F.count("*").over(w))
+            rare = written(rare.where(F.col("r") <= F.col("d") - F.ceil(F.lit(least) * F.col("d") - 1e-9) + 1).select("src", "dst"), "rare")
+            met = rare.select(F.col("src").alias("a"), "dst").join(rare.select(F.col("src").alias("b"), "dst"), "dst").where("a < b").select("a", "b").distinct()
+            x, y = self.edges.select(F.col("src").alias("a"), "dst"), self.edges.select(F.col("src").alias("b"), "dst")
+            shared = met.join(x, "a").join(y, ["b", "dst"]).groupBy("a", "b").agg(F.count("*").alias("shared"))
+            return self._jaccards(shared, deg).where(F.col("jaccard") >= least - 1e-9)
+        x, y = meet.select(F.col("src").alias("a"), "dst"), meet.select(F.col("src").alias("b"), "dst")
+        return self._jaccards(x.join(y, "dst").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")), deg)
+
+    @staticmethod
+    def _jaccards(shared: DataFrame, deg: DataFrame) -> DataFrame:
         da, db = deg.select(F.col("src").alias("a"), F.col("count").alias("da")), deg.select(F.col("src").alias("b"), F.col("count").alias("db"))
         return shared.join(da, "a").join(db, "b").select("a", "b", "shared", (F.col("shared") / (F.col("da") + F.col("db") - F.col("shared"))).alias("jaccard"))
 

@@ -24,12 +24,12 @@ def local(cores: int | None = None, memory: str = "8g") -> SparkSession:
     return builder().master(f"local[{cores}]").config(map=conf).getOrCreate()
 
 
-def metadata_reads(spark: SparkSession, path: str):
-    """A Parquet table read through the source that answers bare COUNT, MIN and MAX from footers."""
+def metadata_reads(spark: SparkSession, *path: str):
+    """A Parquet table, of one path or several, read through the source that answers bare COUNT, MIN and MAX from footers."""
     before = spark.conf.get("spark.sql.sources.useV1SourceList")
     spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
     spark.conf.set("spark.sql.sources.useV1SourceList", ",".join(x for x in before.split(",") if x != "parquet"))
     try:
-        return spark.read.parquet(path)
+        return spark.read.parquet(*path)
     finally:
         spark.conf.set("spark.sql.sources.useV1SourceList", before)

@@ -129,3 +129,17 @@ def test_store_is_upserted_and_views_are_snapshots(engine):
     assert before.edge_count() == 2 and s.view().edge_count() == 3
     assert {(r["src"], r["weight"]) for r in before.edges.collect()} == {(1, 5.0), (2, 1.0)}
     assert [r[0] for r in s.out_neighbors(1).collect()] == [2]
+
+
+def test_label_rounds_and_filtered_pairs(spark):
+    import itertools
+
+    from marlstone.graph.view import GraphView
+
+    two = [(a, b, 1.0) for group in ((1, 2, 3, 4), (11, 12, 13, 14)) for a, b in itertools.permutations(group, 2)] + [(4, 11, 1.0)]
+    g = GraphView(spark.createDataFrame(two, "src long, dst long, weight double"))
+    labels = {r["id"]: r["label"] for r in g.label_rounds().collect()}
+    assert {labels[i] for i in (1, 2, 3, 4)} == {1} and {labels[i] for i in (11, 12, 13, 14)} == {11}
+    every = {(r["a"], r["b"], r["shared"], r["jaccard"]) for r in g.similar_pairs().collect()}
+    for least in (0.3, 0.5, 0.9):
+        assert {tuple(r) for r in g.similar_pairs(least).collect()} == {x for x in every if x[3] >= least - 1e-9}
