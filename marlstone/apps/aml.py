@@ -46,7 +46,7 @@ def velocity(tx: DataFrame) -> DataFrame:
 def scores(tx: DataFrame, known_bad: DataFrame, iterations: int = 50) -> DataFrame:
     """(account, score) above 0.5, highest first: risk from known-bad accounts, rings, fan-in, fan-out and contacts, fused."""
     g = graph(tx)
-    risk = g.personalized_pagerank([r[0] for r in known_bad.select("id").collect()], iterations)
+    risk = g.personalized_pagerank(known_bad.select("id"), iterations)
     top = risk.agg(F.max("rank")).first()[0] or 1.0
     flag = lambda df, n: df.select("account").distinct().withColumn(n, F.lit(1))
     ring = g.laundering_cycles().select(F.explode("members").alias("account"))

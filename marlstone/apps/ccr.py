@@ -24,16 +24,19 @@ def breaches(exposure: DataFrame, limits: DataFrame) -> DataFrame:
     return exposure.join(limits, "counterparty").where(F.greatest("mtm", F.lit(0.0)) > F.col("limit"))
 
 
-def historical_var(pnl: DataFrame, window: int = 512, least: int = 32, tail: float = 0.01) -> DataFrame:
-    """(step, var99): the loss at the tail of the last ``window`` results; null with fewer than ``least``.
+def historical_var(pnl: DataFrame, window: int = 512, least: int = 32, tail: float = 0.01, book: str | None = None) -> DataFrame:
+    """(book,) step, var99: the loss at the tail of a book's last ``window`` results; null with fewer than ``least``.
 
-    pnl: (step, pnl).  One ordered stream, so one window partition; add a book column upstream and
-    run it per book where there are several.
+    pnl: (step, pnl) and the ``book`` column, if there is one: books are windows of their own, spread
+    over the cluster.  Null results are left out.  The answer at a step is the (floor(n * tail) + 1)-th
+    largest of its n losses.
     """
-    w = Window.orderBy("step").rowsBetween(1 - window, 0)
-    losses = pnl.withColumn("w", F.collect_list(-F.col("pnl")).over(w))
-    at = (F.floor(F.size("w") * F.lit(tail)) + 1).cast("int")
-    return losses.select("step", F.when(F.size("w") >= least, F.element_at(F.sort_array("w", asc=False), at)).alias("var99"))
+    names = [book] if book else []
+    pnl = pnl.where(F.col("pnl").isNotNull())
+    w = (Window.partitionBy(book) if book else Window.partitionBy()).orderBy("step").rowsBetween(1 - window, 0)
+    at = (F.floor(F.col("n") * F.lit(tail)) + 1).cast("int")
+    losses = pnl.select(*names, "step", F.collect_list(-F.col("pnl")).over(w).alias("w")).withColumn("n", F.size("w"))
+    return losses.select(*names, "step", F.when(F.col("n") >= least, F.element_at(F.sort_array("w", asc=False), at)).alias("var99"))
 
 
 def debts(interbank: DataFrame) -> GraphView:

@@ -2,9 +2,13 @@
 
 ``log/<csn>.json`` lists what each commit did; it is created exclusively, so a commit is visible as
 a whole or not at all, and one sequence of numbers orders the commits of all tables.  A part holds
-full rows with the commit's number and an operation: I, U or D.  A snapshot at a number is, for each
-key, the latest version up to it that isn't a deletion; where nothing was updated or deleted since
-the last compaction it is a plain scan, into which Spark pushes filters and columns.
+full rows with the number of the commit that wrote them and an operation: I, U or D.  A snapshot at a
+number is, for each key, the latest version up to it that isn't a deletion: rows of parts that only
+inserted are scanned as they are, without those that a later part changed; keys and filters on them
+reach both scans.
+
+A commit's changes are written apart before it and move into ``feed/`` after it, so the feed holds
+changes of published commits only; if the writer dies in between, the next one moves them.
 
 Writers take turns through a lock file, on a file system with POSIX locks; readers never wait.
 """
@@ -16,44 +20,94 @@ import fcntl
 import json
 import os
 import shutil
+import time
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import DuplicateKey, KeyNotFound, SchemaMismatch, TableExists, TableNotFound, WriteConflict
+from .session import metadata_reads
 from .spec import TableSpec, coerced, parse_create
 
 #: Parts of a table beyond which compaction is due, or this share of its versions being outdated.
 PARTS_DUE, DEAD_DUE = 8, 0.10
+#: Commits after the last checkpoint from which on another is due.
+CHECKPOINT_DUE = 64
+#: Changed keys, by the log's counts, up to which they are broadcast to the scan of the unchanged rows.
+BROADCAST_KEYS = 500_000
+#: Staged rows of a transaction are taken for abandoned after so many seconds.
+STAGED_S = 86_400
+#: When a commit is on disk: before it returns, with the next flush that is due within GROUP_S, or with the next flush.
+DURABILITY, GROUP_S = ("sync", "group", "async"), 0.05
 
 
 class Database:
     """A directory of tables."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, os.path.abspath(root)
-        for d in ("log", "data", "feed"):
+    def __init__(self, spark: SparkSession, root: str, durability: str = "sync"):
+        if durability not in DURABILITY:
+            raise ValueError(f"durability is one of {DURABILITY}")
+        self.spark, self.root, self.durability = spark, os.path.abspath(root), durability
+        for d in ("log", "data", "feed", "pending"):
             os.makedirs(os.path.join(self.root, d), exist_ok=True)
         self._pins: dict[int, int] = {}
+        #: Commits after the checkpoint that this process starts from.
         self._log: list[dict] = []
+        self._base, state = self._last_checkpoint()
+        #: Tables as of some commits: the checkpoint, and the last ones asked for.
+        self._folds: dict[int, dict[str, dict]] = {self._base: state}
+        self._unsynced: list[str] = []
+        self._synced_at = time.monotonic()
+        #: What this process did.
+        self.metrics: Counter[str] = Counter()
 
     # the log
     def _path(self, *parts: str) -> str:
         return os.path.join(self.root, *parts)
 
-    def entries(self, csn: int | None = None) -> list[dict]:
-        """Commits 1, 2, ... without a gap, up to csn."""
-        n = len(self._log)
-        while os.path.exists(p := self._path("log", f"{n + 1:012d}.json")):
-            with open(p) as f:
-                self._log.append(json.load(f))
+    def _entry(self, csn: int) -> dict:
+        with open(self._path("log", f"{csn:012d}.json")) as f:
+            return json.load(f)
+
+    def entries(self, after: int = 0, upto: int | None = None) -> list[dict]:
+        """Commits after < csn <= upto (or all), in order and without a gap."""
+        n = self._base + len(self._log)
+        while os.path.exists(self._path("log", f"{n + 1:012d}.json")):
             n += 1
-        return self._log if csn is None else self._log[:csn]
+            self._log.append(self._entry(n))
+        upto = n if upto is None else min(upto, n)
+        old = [self._entry(i) for i in range(after + 1, min(self._base, upto) + 1)]
+        return old + self._log[max(after - self._base, 0) : max(upto - self._base, 0)]
 
     def csn(self) -> int:
-        return len(self.entries())
+        self.entries(self._base + len(self._log))
+        return self._base + len(self._log)
+
+    def _last_checkpoint(self) -> tuple[int, dict[str, dict]]:
+        found = sorted(f for f in os.listdir(self._path("log")) if f.startswith("checkpoint-"))
+        if not found:
+            return 0, {}
+        with open(self._path("log", found[-1])) as f:
+            got = json.load(f)
+        return got["csn"], {n: t | {"spec": TableSpec.from_json(t["spec"])} for n, t in got["tables"].items()}
+
+    def checkpoint(self) -> int:
+        """Writes all tables' state as of now, from which databases are opened without replaying the log."""
+        csn = self.csn()
+        staged = self._path("log", f".{uuid.uuid4().hex}")
+        with open(staged, "w") as f:
+            json.dump({"csn": csn, "tables": {n: t | {"spec": t["spec"].to_json()} for n, t in self.tables(csn).items()}}, f)
+            f.flush()
+            os.fsync(f.fileno())
+        os.replace(staged, self._path("log", f"checkpoint-{csn:012d}.json"))
+        self.metrics["checkpoints"] += 1
+        return csn
+
+    def checkpoint_due(self) -> bool:
+        return self.csn() - self._last_checkpoint()[0] >= CHECKPOINT_DUE
 
     @contextlib.contextmanager
     def _turn(self) -> Iterator[None]:
@@ -67,16 +121,55 @@ class Database:
         with open(staged, "w") as f:
             json.dump({"csn": csn, "ops": ops}, f)
             f.flush()
-            os.fsync(f.fileno())
-        os.link(staged, self._path("log", f"{csn:012d}.json"))  # fails if it is there
+            if self.durability == "sync":
+                os.fsync(f.fileno())
+        os.link(staged, path := self._path("log", f"{csn:012d}.json"))  # fails if it is there
         os.unlink(staged)
+        self.metrics["commits"] += 1
+        self.metrics["rows"] += sum(op.get("rows", 0) for op in ops)
+        if self.durability != "sync":
+            self._unsynced.append(path)
+            if self.durability == "group" and time.monotonic() - self._synced_at >= GROUP_S:
+                self.flush()
         return csn
 
+    def flush(self) -> int:
+        """Commits of this process that are on disk only now."""
+        done, self._unsynced = self._unsynced, []
+        for path in done:
+            with open(path) as f:
+                os.fsync(f.fileno())
+        self._synced_at = time.monotonic()
+        self.metrics["flushes"] += bool(done)
+        return len(done)
+
+    def _settle_feed(self) -> None:
+        """Moves published changes into the feed that aren't there yet; called in turn."""
+        now = self.csn()
+        for name in sorted(os.listdir(self._path("pending"))):
+            csn = int(name.split("-")[0])
+            if csn <= now and any(op.get("feed") == name for op in self._entry(csn)["ops"]):
+                os.rename(self._path("pending", name), self._path("feed", name))
+
+    def feed_paths(self, after: int, upto: int) -> list[str]:
+        """Where the changes of these commits are."""
+        found = []
+        for e in self.entries(after, upto):
+            for op in e["ops"]:
+                if op.get("feed"):
+                    at = self._path("feed", op["feed"])
+                    found.append(at if os.path.exists(at) else self._path("pending", op["feed"]))
+        return found
+
     # the catalog
     def tables(self, csn: int | None = None) -> dict[str, dict]:
-        """Name in lower case -> {spec, id, parts, pure} as of csn."""
-        found: dict[str, dict] = {}
-        for e in self.entries(csn):
+        """Name in lower case -> {spec, id, parts, pure} as of csn; not to be changed."""
+        at = self.csn() if csn is None else min(csn, self.csn())
+        if at in self._folds:
+            return self._folds[at]
+        base = max((c for c in self._folds if c <= at), default=0)
+        found = {n: t | {"parts": list(t["parts"])} for n, t in self._folds.get(base, {}).items()}
+        for e in self.entries(base, at):
             for op in e["ops"]:
                 name = op["table"].lower()
                 if op["kind"] == "create":
@@ -95,6 +188,9 @@ class Database:
                     t["parts"].append({"path": op["path"], "csn": e["csn"], "rows": op["rows"], "pure": op["pure"]})
                     t["pure"] &= op["pure"]
                     t["next_rowid"] = max(t["next_rowid"], op.get("next_rowid", 1))
+        while len(self._folds) >= 16:
+            del self._folds[next(c for c in self._folds if c != self._base)]
+        self._folds[at] = found
         return found
 
     def _table(self, name: str, csn: int | None = None) -> dict:
@@ -134,26 +230,44 @@ class Database:
             self._publish([{"kind": "truncate", "table": name, "id": uuid.uuid4().hex}])
 
     # reading
-    def _versions(self, t: dict) -> DataFrame:
+    def _versions(self, t: dict, pure: bool | None = None) -> DataFrame:
+        """The rows of the table's parts, of those that only inserted or of the others."""
         meta = ", _csn bigint, _op string"
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in t["spec"].schema(hidden=True)) + meta
-        paths = [self._path(p["path"]) for p in t["parts"]]
+        paths = [self._path(p["path"]) for p in t["parts"] if pure is None or p["pure"] == pure]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def _live(self, t: dict) -> DataFrame:
+    def _live(self, t: dict, csn: bool = False) -> DataFrame:
+        """The live rows, with the commit that wrote each if ``csn``."""
         spec: TableSpec = t["spec"]
-        names, v = spec.names(hidden=True), self._versions(t)
+        names = [*spec.names(hidden=True), *(["_csn"] if csn else [])]
+        cols = [F.col(f"`{n}`") for n in names]
         if t["pure"]:
-            return v.select(*(F.col(f"`{n}`") for n in names))
-        k = F.col(f"`{spec.key}`")
-        latest = v.groupBy(k.alias("_k")).agg(F.max_by(F.struct(*(F.col(f"`{n}`") for n in names), "_op"), "_csn").alias("_v"))
-        return latest.where("_v._op <> 'D'").select("_v.*").select(*(F.col(f"`{n}`") for n in names))
+            return self._versions(t).select(*cols)
+        # the key comes from the grouping, so that filters on it go below
+        rest = [F.col(f"`{n}`") for n in names if n not in (spec.key, "_csn")]
+        key = F.col(f"`{spec.key}`")
+        latest = self._versions(t, False).groupBy(key).agg(F.max("_csn").alias("_csn"), F.max_by(F.struct(*rest, "_op"), "_csn").alias("_v"))
+        value = [F.col(f"`{n}`") if n in (spec.key, "_csn") else F.col(f"_v.`{n}`").alias(n) for n in names]
+        changed = latest.select(key.alias("_k"), F.col("_csn").alias("_c"))
+        if sum(p["rows"] for p in t["parts"] if not p["pure"]) <= BROADCAST_KEYS:
+            changed = F.broadcast(changed)
+        same = self._versions(t, True).join(changed, (key == F.col("_k")) & (F.col("_csn") < F.col("_c")), "left_anti")
+        return same.select(*cols).unionAll(latest.where("_v._op <> 'D'").select(*value))
 
     def table(self, name: str, csn: int | None = None, hidden: bool = False) -> DataFrame:
         """The table as of a commit number (now, without one)."""
         t = self._table(name, csn)
+        self.metrics["snapshots"] += 1
         return self._live(t).select(*(F.col(f"`{n}`") for n in t["spec"].names(hidden)))
 
+    def metadata(self, name: str, csn: int | None = None) -> DataFrame | None:
+        """The table read so that bare COUNT, MIN and MAX come from the files' footers; None once rows were changed."""
+        t = self._table(name, csn)
+        if not t["pure"] or not t["parts"]:
+            return None
+        return metadata_reads(self.spark, *(self._path(p["path"]) for p in t["parts"])).select(*(F.col(f"`{n}`") for n in t["spec"].names()))
+
     def get(self, name: str, key, csn: int | None = None):
         """The row of a key or None; the filter reaches the Parquet scan."""
         t = self._table(name, csn)
@@ -197,6 +311,7 @@ class Database:
             if since is not None:
                 for name, path, _pure in staged:
                     self._conflicts(name, path, since)
+            self._settle_feed()
             csn, ops = self.csn() + 1, []
             for name, path, pure in staged:
                 t = self._table(name)
@@ -214,8 +329,10 @@ class Database:
                 names = {"I": "insert", "U": "update", "D": "delete"}
                 kind = F.coalesce(*(F.when(F.col("_op") == a, F.lit(b)) for a, b in names.items()))
                 feed = df.select(F.lit(spec.name).alias("table"), kind.alias("op"), F.lit(csn).cast("long").alias("csn"), F.col("_old").alias("old"), new.alias("new"))
-                feed.write.mode("append").parquet(self._path("feed"))
+                ops[-1]["feed"] = f"{csn:012d}-{uuid.uuid4().hex}"
+                feed.write.parquet(self._path("pending", ops[-1]["feed"]))
             done = self._publish(ops)
+            self._settle_feed()
         for _, path, _ in staged:
             shutil.rmtree(self._path(path), ignore_errors=True)
         return done
@@ -229,12 +346,14 @@ class Database:
         t = self._table(name)
         if t["spec"].keyless:
             return
-        newer = [p for p in t["parts"] if p["csn"] > since]
+        # what the commits since then wrote, not what a compaction moved
+        newer = [op["path"] for e in self.entries(since) for op in e["ops"] if op["kind"] == "write" and op["path"].startswith(f"data/{t['id']}-")]
         if newer:
             k = F.col(f"`{t['spec'].key}`").alias("k")
-            theirs = self.spark.read.parquet(*(self._path(p["path"]) for p in newer)).where(F.col("_csn") > since).select(k)
+            theirs = self.spark.read.parquet(*map(self._path, newer)).select(k)
             hit = self.spark.read.parquet(self._path(path)).select(k).join(theirs, "k", "left_semi").first()
             if hit:
+                self.metrics["conflicts"] += 1
                 raise WriteConflict(f"{name}: key {hit[0]!r} was committed by another transaction")
 
     def _no_duplicates(self, t: dict, rows: DataFrame, staged: bool = False) -> None:
@@ -322,12 +441,12 @@ class Database:
         return self.spark.createDataFrame(rows, "table string, parts long, versions long, bytes long, compaction_due boolean")
 
     def compact(self, name: str) -> bool:
-        """Rewrites the live rows as one sorted part; earlier snapshots keep theirs until vacuum."""
+        """Rewrites the live rows as one sorted part, each with the commit that wrote it; earlier snapshots keep theirs until vacuum."""
         t, upto = self._table(name), self.csn()
         if not t["parts"]:
             return False
         path = f"data/{t['id']}-base-{uuid.uuid4().hex[:8]}"
-        live = self._live(t).withColumn("_csn", F.lit(upto).cast("long")).withColumn("_op", F.lit("I"))
+        live = self._live(t, csn=True).withColumn("_op", F.lit("I"))
         live.repartitionByRange(F.col(f"`{t['spec'].key}`")).sortWithinPartitions(F.col(f"`{t['spec'].key}`")).write.parquet(self._path(path))
         rows = self.spark.read.parquet(self._path(path)).count()
         with self._turn():
@@ -335,8 +454,13 @@ class Database:
                 shutil.rmtree(self._path(path))
                 return False
             self._publish([{"kind": "compact", "table": t["spec"].name, "path": path, "upto": upto, "rows": rows}])
+        self.metrics["compactions"] += 1
         return True
 
+    def compact_all(self) -> list[str]:
+        """Compacts the tables for which it is due."""
+        return [n for n in self.table_names() if self.compaction_due(n) and self.compact(n)]
+
     def compaction_due(self, name: str) -> bool:
         t = self._table(name)
         versions = sum(p["rows"] for p in t["parts"])
@@ -346,14 +470,23 @@ class Database:
         """Deletes parts that neither now nor any pinned snapshot reads; the number of parts deleted."""
         with self._turn():
             used = {p["path"] for c in (self.horizon(), *self._pins, self.csn()) for t in self.tables(c).values() for p in t["parts"]}
-            gone = [d for d in os.listdir(self._path("data")) if f"data/{d}" not in used]
+            # what commits after a pin wrote decides whether its transaction conflicts
+            used |= {op["path"] for e in self.entries(self.horizon()) for op in e["ops"] if "path" in op}
+            old = time.time() - STAGED_S
+            held = lambda d: d.startswith("staged-") and os.path.getmtime(self._path("data", d)) > old
+            gone = [d for d in os.listdir(self._path("data")) if f"data/{d}" not in used and not held(d)]
             for d in gone:
                 shutil.rmtree(self._path("data", d), ignore_errors=True)
+            self._settle_feed()
+            for d in os.listdir(self._path("pending")):  # changes of commits that never were
+                shutil.rmtree(self._path("pending", d), ignore_errors=True)
+        self.metrics["vacuumed"] += len(gone)
         return len(gone)
 
     def backup(self, target: str) -> None:
         """A copy of the log, the parts it needs and the feed, taken between commits."""
         with self._turn():
+            self._settle_feed()
             os.makedirs(os.path.join(target, "data"))
             shutil.copytree(self._path("log"), os.path.join(target, "log"))
             shutil.copytree(self._path("feed"), os.path.join(target, "feed"))

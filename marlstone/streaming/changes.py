@@ -1,8 +1,10 @@
 """The committed-change stream: batch reads, Structured Streaming, sinks and materialized workers.
 
-Every commit leaves its changes in ``feed/`` as (table, op, csn, old, new), the rows as JSON, in
-files that Spark adds whole.  A stream over that folder with a checkpoint gives each change to an
-idempotent sink once; order within a batch is by commit number.
+Every commit leaves its changes in a folder of its own below ``feed/`` as (table, op, csn, old, new), the
+rows as JSON.  The folder moves there once the commit is published, so a stream over ``feed/`` with
+a checkpoint gives each committed change to an idempotent sink once, and nothing else; order within
+a batch is by commit number.  A batch read takes its folders from the log: it reads only those of the
+commits it is asked for.
 """
 
 from __future__ import annotations
@@ -10,8 +12,9 @@ from __future__ import annotations
 import json
 import os
 import threading
+import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,39 +22,134 @@ from pyspark.sql import functions as F
 from ..database import Database
 
 SCHEMA = "table string, op string, csn bigint, old string, new string"
+#: Seconds between two looks for new commits.
+LOOK_S = 0.05
 
 
 def changes(db: Database, after: int = 0, upto: int | None = None, table: str | None = None) -> DataFrame:
     """Changes of the commits after < csn <= upto, of one table or of all; only published commits count."""
-    top = db.csn() if upto is None else min(upto, db.csn())
-    path = os.path.join(db.root, "feed")
-    df = db.spark.read.schema(SCHEMA).parquet(path) if any(f.endswith(".parquet") for f in os.listdir(path)) else db.spark.createDataFrame([], SCHEMA)
-    df = df.where((F.col("csn") > after) & (F.col("csn") <= top))
+    paths = db.feed_paths(after, db.csn() if upto is None else upto)
+    df = db.spark.read.schema(SCHEMA).parquet(*paths) if paths else db.spark.createDataFrame([], SCHEMA)
     return df.where(F.lower("table") == table.lower()) if table else df
 
 
 def stream(db: Database, table: str | None = None) -> DataFrame:
     """The feed as a streaming DataFrame."""
-    df = db.spark.readStream.schema(SCHEMA).parquet(os.path.join(db.root, "feed"))
+    df = db.spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(os.path.join(db.root, "feed"))
     return df.where(F.lower("table") == table.lower()) if table else df
 
 
+def _plain(r) -> dict:
+    return r.asDict() | {k: json.loads(r[k]) if r[k] else None for k in ("old", "new")}
+
+
 class ChangeStream:
-    """A pull subscription from the commit at which it was made."""
+    """A pull subscription from the commit at which it was made.
+
+    Iterating over it waits for changes until it is closed.  Commits are read one after another, and
+    a commit's changes come through an iterator, so a long backlog isn't held.
+    """
 
     def __init__(self, db: Database, table: str | None = None, after: int | None = None):
         self.db, self.table = db, table
         self.cursor = db.csn() if after is None else after
+        self._held: Iterator[dict] = iter(())
+        self._closed = threading.Event()
 
     def poll(self) -> list[dict]:
         """Changes since the last call, in commit order."""
         top = self.db.csn()
         rows = changes(self.db, self.cursor, top, self.table).orderBy("csn").collect()
-        self.cursor = top
-        return [r.asDict() | {k: json.loads(r[k]) if r[k] else None for k in ("old", "new")} for r in rows]
+        self.cursor, held = top, list(self._held)
+        return held + [_plain(r) for r in rows]
 
     drain = poll
 
+    def try_recv(self) -> dict | None:
+        """The next change if there is one."""
+        while True:
+            if (got := next(self._held, None)) is not None:
+                return got
+            if self._closed.is_set() or self.cursor >= self.db.csn():
+                return None
+            self.cursor += 1
+            if self.db.feed_paths(self.cursor - 1, self.cursor):
+                self._held = map(_plain, changes(self.db, self.cursor - 1, self.cursor, self.table).toLocalIterator())
+
+    def recv(self, timeout: float | None = None) -> dict | None:
+        """The next change, waiting for it; None once the stream is closed, TimeoutError after ``timeout`` seconds."""
+        end = None if timeout is None else time.monotonic() + timeout
+        while (got := self.try_recv()) is None:
+            if self._closed.is_set():
+                return None
+            if end is not None and time.monotonic() >= end:
+                raise TimeoutError("no change came")
+            self._closed.wait(LOOK_S)
+        return got
+
+    def next_timeout(self, timeout: float) -> dict | None:
+        """As ``recv``, but None when none came in time."""
+        try:
+            return self.recv(timeout)
+        except TimeoutError:
+            return None
+
+    def close(self) -> None:
+        """Ends the subscription; who waits on it gets None."""
+        self._closed.set()
+
+    def __iter__(self) -> Iterator[dict]:
+        while (got := self.recv()) is not None:
+            yield got
+
+    def __enter__(self) -> ChangeStream:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
+class Subscription:
+    """Calls back for each change in a thread of its own until it is closed; an error ends it and is kept in ``error``."""
+
+    def __init__(self, stream: ChangeStream, callback: Callable[[dict], object]):
+        self.stream, self.error = stream, None
+        #: The last commit whose changes were all handed over.
+        self.seen = stream.cursor
+
+        def run() -> None:
+            try:
+                while not stream._closed.is_set():
+                    while (got := stream.try_recv()) is not None:
+                        callback(got)
+                    self.seen = stream.cursor
+                    stream._closed.wait(LOOK_S)
+            except Exception as e:  # noqa: BLE001
+                self.error = e
+
+        self._thread = threading.Thread(target=run, daemon=True)
+        self._thread.start()
+
+    def settle(self, timeout: float = 60.0) -> None:
+        """Waits until every commit so far was handed over; raises the callback's error."""
+        want, end = self.stream.db.csn(), time.monotonic() + timeout
+        while self.seen < want and self._thread.is_alive():
+            if time.monotonic() > end:
+                raise TimeoutError("changes are still being handed over")
+            time.sleep(LOOK_S)
+        if self.error:
+            raise self.error
+
+    def close(self) -> None:
+        self.stream.close()
+        if self._thread is not threading.current_thread():
+            self._thread.join()
+
+
+def on_change(db: Database, table: str | None, callback: Callable[[dict], object], after: int | None = None) -> Subscription:
+    """Calls ``callback(change)`` for each committed change of a table (or of all) from now on, or from a commit on."""
+    return Subscription(ChangeStream(db, table, after), callback)
+
 
 def wire_json(df: DataFrame) -> DataFrame:
     """One column ``value``: each change as a JSON line with table, op, csn, old and new."""
@@ -94,14 +192,14 @@ class Materialized:
         self.stream = (writer.trigger(processingTime="200 milliseconds") if follow else writer.trigger(availableNow=True)).start()
 
     def _batch(self, batch: DataFrame, _number: int) -> None:
-        # a feed file may be there before its commit is published, or never be: only published commits count
-        rows = batch.where(F.col("csn") > self.cursor).orderBy("csn").collect()
+        # the worker's state is in this process; rows come a partition at a time
+        rows = batch.where(F.col("csn") > self.cursor).orderBy("csn").toLocalIterator()
         with self._lock:
             last = None
             for r in rows:
                 if last is not None and r["csn"] != last:
                     self.worker.on_commit(last)
-                self.worker.apply(r.asDict() | {k: json.loads(r[k]) if r[k] else None for k in ("old", "new")})
+                self.worker.apply(_plain(r))
                 last = r["csn"]
             if last is not None:
                 self.worker.on_commit(last)

@@ -59,3 +59,14 @@ def test_recommendations(spark):
     assert reco.recommend_items(g, 13, 3).first()["item_id"] == 102
     assert reco.trending(g, 1).first()["item_id"] == 1
     assert {r["item_id"] for r in reco.similar_items(g, 100).collect()} == {101, 102}
+
+
+def test_programs_find_what_is_planted(spark, tmp_path):
+    from marlstone.apps import run
+
+    got = run.run_aml(spark, str(tmp_path / "aml"), 500)
+    assert got["alerts"] == {"ring": 15, "structuring": 4, "fan_out": 2} and got["streamed_alerts"] >= 6
+    got = run.run_ccr(spark, str(tmp_path / "ccr"), 2000)
+    assert got["defaults"] > 0
+    got = run.run_reco(spark, str(tmp_path / "reco"), 3000)
+    assert got["own_group"] >= 0.6 * len(got["recommended"]) > 0

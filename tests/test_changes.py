@@ -120,3 +120,59 @@ def test_dbapi(engine, spark):
         con.cursor()
     with pytest.raises(dbapi.ProgrammingError):
         dbapi.connect(engine.db.root, spark).execute("SELECT nothing FROM u")
+
+
+def test_changes_of_a_writer_that_died_after_its_commit_arrive(engine, monkeypatch):
+    """The commit is published, but its changes didn't move yet: batch reads see them, streams after the next commit."""
+    engine.sql("CREATE TABLE t (k BIGINT PRIMARY KEY)")
+    monkeypatch.setattr(engine.db, "_settle_feed", lambda: None)
+    engine.sql("INSERT INTO t VALUES (1)")
+    monkeypatch.undo()
+    assert changes(engine.db, table="t").count() == 1
+    engine.sql("INSERT INTO t VALUES (2)")
+    seen = stream(engine.db, "t").writeStream.format("memory").queryName("late_feed").trigger(availableNow=True).start()
+    seen.awaitTermination()
+    assert engine.spark.table("late_feed").count() == 2
+
+
+def test_a_callback_error_ends_the_subscription(engine):
+    import pytest
+
+    from marlstone.streaming.changes import on_change
+
+    engine.sql("CREATE TABLE t (k BIGINT PRIMARY KEY)")
+
+    def fails(change):
+        raise ValueError("no")
+
+    s = on_change(engine.db, "t", fails)
+    engine.sql("INSERT INTO t VALUES (1)")
+    with pytest.raises(ValueError):
+        s.settle()
+    s.close()
+
+
+def test_waiting_for_a_change_ends(engine):
+    import pytest
+
+    from marlstone.streaming.changes import ChangeStream
+
+    engine.sql("CREATE TABLE t (k BIGINT PRIMARY KEY)")
+    with ChangeStream(engine.db, "t") as s:
+        with pytest.raises(TimeoutError):
+            s.recv(0.1)
+        engine.sql("INSERT INTO t VALUES (7)")
+        assert s.recv(10)["new"] == {"k": 7}
+    assert s.recv() is None and list(s) == []
+
+
+def test_a_growing_file_is_followed_line_by_line(tmp_path):
+    from marlstone.streaming.tail import Tail
+
+    log, cursor = tmp_path / "log.jsonl", str(tmp_path / "cursor")
+    assert list(Tail(str(log), cursor).poll()) == []
+    log.write_text('{"a": 1}\n\n{"a": 2}\n{"a": ')
+    assert [x["a"] for x in Tail(str(log), cursor, block=3).poll()] == [1, 2]
+    with log.open("a") as f:
+        f.write("3}\n")
+    assert [x["a"] for x in Tail(str(log), cursor).follow(idle=0.2)] == [3]

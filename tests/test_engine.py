@@ -241,3 +241,95 @@ def test_metamorphic(engine, seed):
     assert rows(engine, "SELECT pk FROM m ORDER BY a NULLS LAST, pk LIMIT 7") == top[:7]
     engine.sql(f"DELETE FROM m WHERE {p}")
     assert one("SELECT count(*) FROM m") == total - parts[0]
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_key_filters_reach_the_scans_of_a_changed_table(engine):
+    engine.sql("CREATE TABLE t (k BIGINT PRIMARY KEY, v TEXT)")
+    engine.sql("INSERT INTO t SELECT id, CAST(id AS STRING) FROM range(100)")
+    engine.sql("UPDATE t SET v = 'new' WHERE k % 10 = 0")
+    engine.sql("DELETE FROM t WHERE k % 7 = 0")
+    for df in (engine.db.scan_key_range("t", 20, 30), engine.sql("SELECT * FROM t WHERE k >= 20 AND k < 30")):
+        text = plan(df)
+        scans = [x for x in text[text.index("Physical Plan") :].split("\n") if "FileScan" in x]
+        assert scans and sum("GreaterThanOrEqual(k,20), LessThan(k,30)" in x for x in scans) >= 2
+        # the unchanged rows aren't shuffled: what changed is broadcast to them
+        assert "BroadcastHashJoin" in text
+        assert sorted((r["k"], r["v"]) for r in df.collect()) == [(k, "new" if k % 10 == 0 else str(k)) for k in range(20, 30) if k % 7]
+
+
+def test_bare_aggregates_come_from_footers_until_rows_change(engine):
+    engine.sql("CREATE TABLE t (k BIGINT PRIMARY KEY, v DOUBLE)")
+    engine.sql("INSERT INTO t SELECT id, id / 2 FROM range(50)")
+    df = engine.sql("SELECT count(*) AS n, min(k) AS lo, max(v) AS hi FROM t")
+    assert "PushedAggregation: [COUNT(*), MIN(k), MAX(v)]" in plan(df) and tuple(df.first()) == (50, 0, 24.5)
+    engine.sql("DELETE FROM t WHERE k >= 40")
+    assert tuple(engine.sql("SELECT count(*) AS n, min(k) AS lo, max(v) AS hi FROM t").first()) == (40, 0, 19.5)
+
+
+def test_many_changed_keys_are_not_broadcast(engine, monkeypatch):
+    from marlstone import database
+
+    monkeypatch.setattr(database, "BROADCAST_KEYS", 3)
+    engine.sql("CREATE TABLE t (k BIGINT PRIMARY KEY, v BIGINT)")
+    engine.sql("INSERT INTO t SELECT id, id FROM range(30)")
+    engine.sql("UPDATE t SET v = 0 WHERE k < 10")
+    engine.sql("DELETE FROM t WHERE k = 5")
+    engine.sql("INSERT INTO t VALUES (5, 55)")
+    assert {r["k"]: r["v"] for r in engine.sql("SELECT * FROM t").collect()} == {k: 55 if k == 5 else 0 if k < 10 else k for k in range(30)}
+
+
+def test_a_key_that_comes_and_goes(engine):
+    engine.sql("CREATE TABLE t (k BIGINT PRIMARY KEY, v BIGINT)")
+    for i in range(3):
+        engine.sql(f"INSERT INTO t VALUES (1, {i})")
+        assert [r["v"] for r in engine.sql("SELECT v FROM t").collect()] == [i]
+        engine.sql("DELETE FROM t WHERE k = 1")
+        assert engine.sql("SELECT v FROM t").count() == 0
+        if i == 1:
+            engine.db.compact("t")
+
+
+def test_opening_reads_only_the_log_after_the_checkpoint(engine, spark, monkeypatch):
+    from marlstone.database import Database
+
+    engine.sql("CREATE TABLE t (k BIGINT PRIMARY KEY)")
+    for i in range(3):
+        engine.sql(f"INSERT INTO t VALUES ({i})")
+    assert not engine.db.checkpoint_due() and engine.db.checkpoint() == 4
+    engine.sql("INSERT INTO t VALUES (9)")
+    again, read = Database(spark, engine.db.root), []
+    entry = again._entry
+    monkeypatch.setattr(again, "_entry", lambda c: read.append(c) or entry(c))
+    assert again.csn() == 5 and {r["k"] for r in again.table("t").collect()} == {0, 1, 2, 9} and read == [5]
+    assert again.table("t", 2).count() == 1  # older snapshots are still there
+
+
+def test_a_conflict_survives_compaction_and_vacuum(engine):
+    import pytest
+
+    from marlstone.engine import Engine
+    from marlstone.errors import WriteConflict
+
+    engine.sql("CREATE TABLE t (k BIGINT PRIMARY KEY, v BIGINT)")
+    engine.sql("INSERT INTO t VALUES (1, 1), (2, 2)")
+    other = Engine(engine.spark, engine.db)
+    other.sql("BEGIN")
+    other.sql("UPDATE t SET v = 5 WHERE k = 1")
+    engine.sql("DELETE FROM t WHERE k = 1")
+    engine.db.compact("t")
+    engine.db.vacuum()
+    with pytest.raises(WriteConflict):
+        other.sql("COMMIT")
+
+
+def test_qualify_and_groups(engine):
+    engine.sql("CREATE TABLE t (k BIGINT PRIMARY KEY, g BIGINT)")
+    engine.sql("INSERT INTO t SELECT id, id % 3 FROM range(12)")
+    rows = engine.sql("SELECT k, g FROM t WHERE k > 2 QUALIFY row_number() OVER (PARTITION BY g ORDER BY k DESC) = 1 ORDER BY k").collect()
+    assert [tuple(r) for r in rows] == [(9, 0), (10, 1), (11, 2)]
+    rows = engine.sql("SELECT k, sum(k) OVER (ORDER BY g GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS s FROM t x WHERE x.k < 6 ORDER BY k").collect()
+    assert [tuple(r) for r in rows] == [(0, 3), (1, 8), (2, 12), (3, 3), (4, 8), (5, 12)]
