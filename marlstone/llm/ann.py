@@ -1,8 +1,10 @@
 """Approximate nearest neighbours by a hierarchical navigable small-world graph per shard.
 
-Rows are spread over shards by hash.  A shard's graph is built in one task and kept as flat
-neighbour arrays, one row of fixed width per vector and level.  Every query is sent to every shard,
-searched there, and the shards' answers are merged.  Insertion and search both walk the graph for a
+Rows are spread over shards by hash, as many to a shard as its memory holds.  A shard's graph is built
+in one task and kept as flat neighbour arrays, one row of fixed width per vector and level.  Every
+query is sent to every shard, searched there, and the shards' answers are merged.  A search costs the
+logarithm of its shard's rows, so work grows in proportion to the rows until there are several
+shards, and by rows times shards from there on.  Insertion and search both walk the graph for a
 whole batch of queries in step, so the work is in array operations.
 
 Equal vectors of a shard are one node with several members: copies never crowd out a node's links.
@@ -17,8 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Rows of a shard.
-SHARD_ROWS = 10_000
+#: Bytes of a shard's vectors and lowest links.
+SHARD_BYTES = 128 << 20
+#: Bytes that a batch of queries may use to mark the nodes it saw.
+SEEN_BYTES = 48 << 20
 
 
 def _dist(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -43,7 +47,7 @@ class Hnsw:
         self.inside = np.zeros(n, bool)
         at = 0
         while at < n:
-            size = 1 if at == 0 else min(at, 512, n - at)
+            size = 1 if at == 0 else min(at, max(16, min(512, SEEN_BYTES // n)), n - at)
             self._insert(order[at : at + size], ef_build)
             at += size
 
@@ -161,6 +165,7 @@ class Hnsw:
 
     def search(self, q: np.ndarray, k: int, ef: int, batch: int = 512) -> tuple[np.ndarray, np.ndarray]:
         """(nodes, squared distances) of the k nearest found for each query; -1 and inf where there are fewer."""
+        batch = max(16, min(batch, SEEN_BYTES // max(1, len(self.v))))
         ids, dist = np.full((len(q), k), -1, np.int64), np.full((len(q), k), np.inf, np.float32)
         for lo in range(0, len(q) if len(self.v) else 0, batch):
             part = np.ascontiguousarray(q[lo : lo + batch], np.float32)
@@ -175,7 +180,7 @@ class Hnsw:
 
 
 OUT = "vec_id long, neighbor_id long, distance double"
-INDEX = "shard long, ids binary, first binary, vectors binary, width int, links array<binary>, entry long"
+INDEX = "size int, shard long, ids binary, first binary, vectors binary, width int, links array<binary>, entry long"
 
 
 def _matrix(t: pa.Table) -> np.ndarray:
@@ -192,7 +197,7 @@ def _build_shard(m: int, ef_build: int):
         graph = Hnsw(node, m, ef_build)
         first = np.concatenate([[0], np.cumsum(np.bincount(back, minlength=len(node)))])
         return pa.table({
-            "shard": [t["shard"][0].as_py()], "ids": [ids[np.argsort(back, kind="stable")].tobytes()], "first": [first.astype(np.int64).tobytes()],
+            "size": pa.array([v.shape[1]], pa.int32()), "shard": [t["shard"][0].as_py()], "ids": [ids[np.argsort(back, kind="stable")].tobytes()], "first": [first.astype(np.int64).tobytes()],
             "vectors": [graph.v.tobytes()], "width": pa.array([v.shape[1]], pa.int32()), "links": [[x.tobytes() for x in graph.links]], "entry": [graph.entry],
         })
 
@@ -231,30 +236,39 @@ def _search_shard(k: int, ef: int):
     return run
 
 
-def neighbours(table: DataFrame, k: int = 10, ef: int = 100, m: int = 16, ef_build: int = 64, shard_rows: int = SHARD_ROWS, query_rows: int = 20_000) -> DataFrame:
+def neighbours(table: DataFrame, k: int = 10, ef: int = 100, m: int = 16, ef_build: int = 64, shard_bytes: int = SHARD_BYTES, shard_rows: int | None = None, query_rows: int | None = None) -> DataFrame:
     """(vec_id, rank, neighbor_id, distance): the k nearest other vectors of every row, by Euclidean distance.
 
-    Approximate: in tests at least 0.9 of the true neighbours.  Ties go to the smaller id.  Rows
-    without vec_id or embedding, with null or non-finite values in it, or of another length than
-    the table's commonest (ties: the longer), take no part; of rows that share a vec_id the first by
-    value stays; vectors equal to each other are each other's neighbours at distance 0.  With fewer
-    than k others there are fewer rows; an empty table gives none.  Other columns are ignored.
+    Approximate: in tests at least 0.9 of the true neighbours.  Ties go to the smaller id.  Vectors of
+    different lengths aren't compared: each length is searched by itself.  Rows without vec_id or
+    embedding, with null or non-finite values in it, or of length 0, take no part; of rows that share
+    a vec_id the first by length, then by value, stays; vectors equal to each other are each other's
+    neighbours at distance 0.  With fewer than k others there are fewer rows; an empty table gives
+    none.  Other columns, whatever their names, are ignored.
 
-    Rows are spread over ceil(rows / shard_rows) shards, whose graphs are written to the shared
-    folder; every shard answers every query, in tasks of about ``query_rows`` queries.
+    A length's rows are spread over as many shards as ``shard_bytes`` asks for (or ``shard_rows``), whose
+    graphs are written to the shared folder; every shard answers every query, in tasks of about
+    ``query_rows`` queries: by default as few as keep the cluster busy, or as many bytes as a shard has.
     """
+    spark = table.sparkSession
     v = F.col("embedding").cast("array<float>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = table.select(F.col("vec_id").cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null").where(fine)
-    common = rows.groupBy(F.size("v").alias("s")).count().orderBy(F.desc("count"), F.desc("s")).first()
-    rows = rows.where(F.size("v") == (common["s"] if common else 0)).groupBy("id").agg(F.min("v").alias("v"))
-    total = common["count"] if common else 0
-    shards, slices = max(1, -(-total // shard_rows)), max(1, -(-total // query_rows))
-    base = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), "id", "v")
-    index = written(base.groupBy("shard").applyInArrow(_build_shard(m, ef_build), INDEX), "hnsw")
+    rows = table.select(F.col("vec_id").cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null").where(fine & (F.size("v") > 0))
+    first = rows.groupBy("id").agg(F.min(F.struct(F.size("v").alias("size"), F.col("v"))).alias("r"))
+    rows = written(first.select("id", "r.size", "r.v"), "vectors")
+    # shards and slices of each length, from its rows alone
+    most = F.greatest(F.lit(1), F.floor(F.lit(shard_bytes) / (F.col("size") * 4 + 8 * m))) if shard_rows is None else F.lit(shard_rows)
+    plan = rows.groupBy("size").agg(F.count("*").alias("n")).withColumn("shards", F.ceil(F.col("n") / most))
+    busy = 2 * spark.sparkContext.defaultParallelism
+    each = F.greatest(F.lit(2000), F.least(F.floor(F.lit(shard_bytes) / (F.col("size") * 4)), F.ceil(F.col("n") * F.col("shards") / busy))) if query_rows is None else F.lit(query_rows)
+    plan = written(plan.select("size", "shards", F.ceil(F.col("n") / each).alias("slices")), "shards")
+    one = F.lit(1).cast("long")
+    rows = rows.join(plan, "size")
+    base = rows.select("size", F.pmod(F.xxhash64("id"), F.col("shards")).alias("shard"), "id", "v")
+    index = written(base.groupBy("size", "shard").applyInArrow(_build_shard(m, ef_build), INDEX), "hnsw")
     # a task searches one shard for one slice of the queries
-    left = index.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    right = rows.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(slices)).cast("int").alias("slice"), "id", "v")
-    found = left.groupBy("shard", "slice").cogroup(right.groupBy("shard", "slice")).applyInArrow(_search_shard(k, ef), OUT)
+    left = index.join(plan.select("size", "slices"), "size").withColumn("slice", F.explode(F.sequence(one * 0, F.col("slices") - 1))).drop("slices")
+    right = rows.select("size", F.explode(F.sequence(one * 0, F.col("shards") - 1)).alias("shard"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("slices")).alias("slice"), "id", "v")
+    found = left.groupBy("size", "shard", "slice").cogroup(right.groupBy("size", "shard", "slice")).applyInArrow(_search_shard(k, ef), OUT)
     w = Window.partitionBy("vec_id").orderBy("distance", "neighbor_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("vec_id", "rank", "neighbor_id", "distance")

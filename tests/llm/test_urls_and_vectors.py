@@ -64,6 +64,12 @@ def test_recall_over_shards(spark, sf):
     assert all(r["vec_id"] != r["neighbor_id"] for r in got)
 
 
+def test_recall_of_the_query_itself(spark, sf):
+    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+    got = QUERIES["op4_nearest_neighbours"](spark, sf).collect()
+    assert len(got) == 10 * df.count() and recall(df, got) >= 0.9
+
+
 def test_graph_recall():
     v = np.random.default_rng(1).normal(size=(3000, 16)).astype(np.float32)
     g = ann.Hnsw(v)
@@ -81,6 +87,12 @@ def test_vectors_in_edge_cases(spark):
     by = {}
     for r in got:
         by.setdefault(r["vec_id"], []).append((r["rank"], r["neighbor_id"], r["distance"]))
+    # a vector of another length is searched among its like only
     assert set(by) == {*range(30), 100}
+    two = vectors(spark, [*rows, (105, [2.0], 0), (106, [float(i) for i in range(3)], 0)])
+    lone = {(r["vec_id"], r["neighbor_id"]) for r in ann.neighbours(two, k=3).where("vec_id in (102, 105, 106)").collect()}
+    assert lone == {(102, 105), (105, 102)}
+    clash = two.selectExpr("*", "1 AS id", "2 AS v", "3 AS shard", "4 AS size", "5 AS slice")
+    assert ann.neighbours(clash, k=3).count() == ann.neighbours(two, k=3).count()
     assert sorted(by[0]) == [(1, 1, 0.0), (2, 2, 0.0), (3, 3, 0.0)] and sorted(by[100])[0][1] == 0
     assert ann.neighbours(vectors(spark, [])).count() == 0 and ann.neighbours(vectors(spark, [(1, [1.0], 0)])).count() == 0
