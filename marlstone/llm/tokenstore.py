@@ -6,7 +6,9 @@ never touches another's file; files of attempts that failed are in no index.  Th
 document key to (shard, offset, length): keys are spread over buckets by hash, each bucket is a
 minimal perfect hash over its keys (levels of bits in which a key that collides moves on to the
 next level, ranked by population count) with a fingerprint per slot, so a key that was never stored
-is told apart.  A lookup reads one slot and one byte range.
+is told apart.  A bucket's file holds its ranks too, so getting one key reads a word a level, one
+block of words, one slot and one byte range, however many keys there are.  A lookup of a whole table
+brings keys to their buckets and entries to their shards, so each is read once and in order.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ from . import spm
 from . import textkernel as K
 from .common import bounded_batches, lean, shared_dir, written
 
-MAGIC = b"MPH1"
+MAGIC = b"MPH2"
+#: Words between two stored ranks, and bytes between two ranges below which they are read as one.
+RANK_WORDS, GAP = 8, 1 << 16
 ENTRY = np.dtype([("fp", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("n", "<u4"), ("crc", "<u4")])
 #: Room per key in each level's bits.
 GAMMA = 2.0
@@ -87,7 +91,8 @@ def pack_index(keys: np.ndarray, shard: np.ndarray, offset: np.ndarray, n: np.nd
         table[f][slot] = v
     listed = "\n".join(names).encode()
     head = MAGIC + struct.pack("<III", len(keys), len(mph.levels), len(listed)) + struct.pack(f"<{len(mph.levels)}I", *(len(x) for x in mph.levels))
-    return head + mph.words.astype("<u8").tobytes() + table.tobytes() + listed
+    ranks = mph.rank[: len(mph.words) : RANK_WORDS].astype("<u4")
+    return head + mph.words.astype("<u8").tobytes() + ranks.tobytes() + table.tobytes() + listed
 
 
 class Bucket:
@@ -102,6 +107,7 @@ class Bucket:
         for s in sizes:
             parts.append(np.frombuffer(blob, "<u8", s, at).astype(np.uint64))
             at += 8 * s
+        at += 4 * -(-sum(sizes) // RANK_WORDS)
         self.mph, self.table = PerfectHash(parts), np.frombuffer(blob, ENTRY, n, at)
         names = blob[at + n * ENTRY.itemsize :].decode()
         self.names = names.split("\n") if listed else []
@@ -115,6 +121,42 @@ class Bucket:
         return (slot >= 0) & (rows["fp"] == fingerprint(keys)), rows
 
 
+class Slots:
+    """A bucket's file read a few bytes at a time: only its head is held."""
+
+    def __init__(self, f: pa.NativeFile):
+        self.file = f
+        head = f.read_at(16, 0)
+        if head[:4] != MAGIC:
+            raise ValueError("not an index")
+        self.n, levels, self.listed = struct.unpack_from("<III", head, 4)
+        self.sizes = struct.unpack(f"<{levels}I", f.read_at(4 * levels, 16)) if levels else ()
+        self.words = 16 + 4 * levels
+        self.ranks = self.words + 8 * sum(self.sizes)
+        self.table = self.ranks + 4 * -(-sum(self.sizes) // RANK_WORDS)
+
+    def find(self, key: int) -> tuple[np.void, str] | None:
+        """(entry, shard's name) of a key; None if it isn't stored."""
+        k, first = np.array([key], np.int64), 0
+        for level, size in enumerate(self.sizes):
+            at = int(_hash(k, level)[0] % np.uint64(size * 64))
+            word = first + (at >> 6)
+            block = word - word % RANK_WORDS
+            held = np.frombuffer(self.file.read_at(8 * (word - block + 1), self.words + 8 * block), "<u8")
+            if int(held[-1]) >> (at & 63) & 1:
+                (rank,) = struct.unpack("<I", self.file.read_at(4, self.ranks + 4 * (block // RANK_WORDS)))
+                slot = rank + int(np.bitwise_count(held[:-1]).sum()) + (int(held[-1]) & ((1 << (at & 63)) - 1)).bit_count()
+                row = np.frombuffer(self.file.read_at(ENTRY.itemsize, self.table + slot * ENTRY.itemsize), ENTRY)[0]
+                return (row, self.name(int(row["shard"]))) if row["fp"] == fingerprint(k)[0] else None
+            first += size
+        return None
+
+    def name(self, shard: int) -> str:
+        if not hasattr(self, "_names"):
+            self._names = self.file.read_at(self.listed, self.table + self.n * ENTRY.itemsize).decode().split("\n")
+        return self._names[shard]
+
+
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (_hash(keys, 1 << 21) % np.uint64(buckets)).astype(np.int64)
 
@@ -128,16 +170,9 @@ class Store:
             lines = f.read().decode().split("\n")
         self.width, self.files = int(lines[0]), lines[1:]
         self.buckets: dict[int, Bucket] = {}
+        self.slots: dict[int, Slots] = {}
         self.open: dict[str, pa.NativeFile] = {}
 
-    def _bucket(self, i: int) -> Bucket:
-        if i not in self.buckets:
-            if len(self.buckets) >= 8:
-                self.buckets.pop(next(iter(self.buckets)))
-            with self.fs.open_input_file(posixpath.join(self.root, self.files[i])) as f:
-                self.buckets[i] = Bucket(f.read())
-        return self.buckets[i]
-
     def _read(self, name: str, offset: int, size: int) -> bytes:
         if name not in self.open:
             if len(self.open) >= 64:
@@ -145,21 +180,42 @@ class Store:
             self.open[name] = self.fs.open_input_file(posixpath.join(self.root, name))
         return self.open[name].read_at(size, offset) if size else b""
 
-    def find(self, keys: np.ndarray):
-        """Yields (positions in keys, found, entries, shard names) bucket by bucket."""
-        which = bucket_of(keys, len(self.files)) if self.files else np.zeros(0, np.int64)
-        for b in np.unique(which):
-            at = np.flatnonzero(which == b)
-            bucket = self._bucket(int(b))
-            yield at, *bucket.find(keys[at]), bucket.names
+    def bucket(self, i: int) -> Bucket:
+        """A bucket as a whole, for many keys; the last one is held."""
+        if i not in self.buckets:
+            self.buckets.clear()
+            with self.fs.open_input_file(posixpath.join(self.root, self.files[i])) as f:
+                self.buckets[i] = Bucket(f.read())
+        return self.buckets[i]
 
     def get(self, key: int) -> np.ndarray | None:
         """Ids of a document, None if it isn't stored."""
-        for _, found, rows, names in self.find(np.array([key], np.int64)):
-            if found[0]:
-                r = rows[0]
-                return np.frombuffer(self._read(names[r["shard"]], int(r["offset"]), int(r["n"]) * self.width), f"<u{self.width}")
-        return None
+        if not self.files:
+            return None
+        i = int(bucket_of(np.array([key], np.int64), len(self.files))[0])
+        if i not in self.slots:
+            if len(self.slots) >= 64:
+                self.slots.pop(next(iter(self.slots))).file.close()
+            self.slots[i] = Slots(self.fs.open_input_file(posixpath.join(self.root, self.files[i])))
+        hit = self.slots[i].find(key)
+        if hit is None:
+            return None
+        row, name = hit
+        return np.frombuffer(self._read(name, int(row["offset"]), int(row["n"]) * self.width), f"<u{self.width}")
+
+    def ranges(self, name: str, offset: np.ndarray, size: np.ndarray, most: int = 8 << 20):
+        """Yields (position, bytes) of ranges of one shard in ascending order, near ones read together."""
+        at = 0
+        while at < len(offset):
+            to = at + 1
+            while to < len(offset) and offset[to] - (offset[to - 1] + size[to - 1]) <= GAP and offset[to] + size[to] - offset[at] <= most:
+                to += 1
+            end = int((offset[at:to] + size[at:to]).max())
+            part = self._read(name, int(offset[at]), end - int(offset[at]))
+            for i in range(at, to):
+                a = int(offset[i] - offset[at])
+                yield i, part[a : a + int(size[i])]
+            at = to
 
 
 def build(docs: DataFrame, uri: str | None = None, model_file: str | None = None, keys_per_bucket: int = 1_000_000) -> str:
@@ -238,29 +294,58 @@ def build(docs: DataFrame, uri: str | None = None, model_file: str | None = None
     return uri
 
 
+FOUND = "doc_id long, shard string, byte_offset long, n_ids long, crc32 long"
+
+
 def lookup(keys: DataFrame, uri: str) -> DataFrame:
     """(doc_id, shard, byte_offset, n_ids, crc32, intact) of each row of keys, by the index alone.
 
     ``intact``: the payload that the index points at has the stored checksum.  A key that isn't
-    stored has nulls and isn't intact; rows without doc_id are dropped; repeated keys give repeated rows.
+    stored has nulls and isn't intact; rows without doc_id are dropped; repeated keys give repeated
+    rows.  Other columns, whatever their names, are ignored; an empty table gives no row.
     """
+    buckets = len(Store(uri).files)
 
-    def run(batches):
-        store = Store(uri)
+    def spread(batches):
         for b in batches:
-            ids = b.column(0).to_numpy()
-            n = len(ids)
-            shard, rows, ok = np.full(n, None, object), np.zeros(n, ENTRY), np.zeros(n, bool)
-            for at, found, entries, names in store.find(ids):
-                at, entries = at[found], entries[found]
-                rows[at] = entries
-                shard[at] = np.array(names, object)[entries["shard"]] if len(at) else None
-            there = np.array([s is not None for s in shard], bool)
-            for i in sorted(np.flatnonzero(there), key=lambda i: (shard[i], rows["offset"][i])):
-                ok[i] = zlib.crc32(store._read(shard[i], int(rows["offset"][i]), int(rows["n"][i]) * store.width)) == rows["crc"][i]
-            col = lambda f: pa.array(rows[f].astype(np.int64), mask=~there)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.split("-")[1] if s else None for s in shard], pa.string()), col("offset"), col("n"), col("crc"), pa.array(ok)], names=["doc_id", "shard", "byte_offset", "n_ids", "crc32", "intact"])
-
-    return keys.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").mapInArrow(lean(run), "doc_id long, shard string, byte_offset long, n_ids long, crc32 long, intact boolean")
-
+            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(b.column(0).to_numpy(), max(1, buckets))), b.column(0)], names=["bucket", "doc_id"])
 
+    def find(batches):
+        store = Store(uri)
+        for b in batches:
+            which, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for lo, hi in _stretches(which):
+                n = hi - lo
+                if buckets:
+                    bucket = store.bucket(int(which[lo]))
+                    there, rows = bucket.find(ids[lo:hi])
+                    names = pa.array(bucket.names, pa.string()).take(pa.array(rows["shard"].astype(np.int64), mask=~there)) if bucket.names else pa.nulls(n, pa.string())
+                else:
+                    there, rows, names = np.zeros(n, bool), np.zeros(n, ENTRY), pa.nulls(n, pa.string())
+                col = lambda f: pa.array(rows[f].astype(np.int64), mask=~there)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), names, col("offset"), col("n"), col("crc")], names=[x.split()[0] for x in FOUND.split(", ")])
+
+    def check(batches):
+        store = Store(uri)
+        for b in batches:
+            names, n = b.column(1), len(b)
+            ok, code = np.zeros(n, bool), names.dictionary_encode()
+            shard = code.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            offset, count, crc = (b.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i in (2, 3, 4))
+            for lo, hi in _stretches(shard):
+                if shard[lo] >= 0:
+                    for i, part in store.ranges(code.dictionary[int(shard[lo])].as_py(), offset[lo:hi], count[lo:hi] * store.width):
+                        ok[lo + i] = zlib.crc32(part) == crc[lo + i]
+            short = pa.array([x.split("-")[1] if x else None for x in names.to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), short, *b.columns[2:], pa.array(ok)], names=[*b.schema.names, "intact"])
+
+    ids = keys.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
+    found = ids.mapInArrow(lean(spread), "bucket long, doc_id long").repartition("bucket").sortWithinPartitions("bucket", "doc_id").mapInArrow(lean(find), FOUND)
+    # keys that aren't stored are spread
+    return found.repartition(F.coalesce("shard", F.col("doc_id").cast("string"))).sortWithinPartitions("shard", "byte_offset").mapInArrow(lean(check), FOUND + ", intact boolean")
+
+
+def _stretches(values: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of equal neighbours."""
+    cut = np.flatnonzero(np.diff(values)) + 1
+    return list(zip(np.concatenate([[0], cut]).tolist(), np.concatenate([cut, [len(values)]]).tolist(), strict=True)) if len(values) else []
