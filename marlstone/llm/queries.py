@@ -44,7 +44,7 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spm.encode(_t(spark, sf_dir, "documents"))
+    return spm.encode(_t(spark, sf_dir, "documents"), charsmap=spm.nfkc_map())
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding that keeps each piece's place in the original bytes.
 
 Normalisation is longest-prefix replacement through the model's compiled character map (a
-double-array trie); it records, for each normalised byte, the original byte it came from, so every
-piece projects to a span of the original text.  Where the map is empty the alignment is the
-identity and is kept in arrays only.
+double-array trie), or through another one that the caller passes; it records, for each normalised
+byte, the original byte it came from, so every piece projects to a span of the original text.  The
+trie is walked for all places of a chunk in step, and the alignment is one array.
 
 No piece holds a space sign after another sign, and some signs are in no piece at all: merges never
 cross such places.  A text is therefore cut there, each distinct segment is encoded once per
@@ -13,8 +13,10 @@ worker, and the ids are the same as those of the whole text.
 from __future__ import annotations
 
 import hashlib
+import functools
 import itertools
 import os
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,6 +47,64 @@ class CharsMap:
         self.units = np.frombuffer(blob[4 : 4 + size], np.uint32).tolist()
         self.strings = blob[4 + size :]
 
+    def _arrays(self):
+        """Units as an array, and which first bytes, alone or with the next one, may begin a key."""
+        if not hasattr(self, "_held"):
+            self._held = (np.array(self.units, np.uint32), np.ones(1 << 16, bool), np.zeros(256, bool))
+            pair = np.arange(1 << 16, dtype=np.uint16).astype(">u2").view(np.uint8)
+            begin = np.arange(1 << 16) * 2
+            _, _, deep = self._walk(pair, begin, begin + 2)
+            size, _, _ = self._walk(np.arange(256, dtype=np.uint8), np.arange(256), np.arange(256) + 1)
+            self._held = (self._held[0], deep, size > 0)
+        return self._held
+
+    def _walk(self, data: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes matched or 0, place of the replacement, whether the second byte fits too) of the longest key at each place."""
+        units = self._held[0]
+        size, value, deep = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+        live, step = np.arange(len(at)), 0
+        down = lambda u: (u >> np.uint32(10)) << ((u & np.uint32(0x200)) >> np.uint32(6))
+        node = np.full(len(at), down(units[0]), np.uint32)
+        while True:
+            go = at[live] + step < end[live]
+            live, node = live[go], node[go]
+            if not len(live):
+                return size, value, deep
+            sign = data[at[live] + step].astype(np.uint32)
+            node = node ^ sign
+            u = units[np.minimum(node, len(units) - 1)]
+            fits = (node < len(units)) & (u & np.uint32(0x800000FF) == sign)
+            live, node, u = live[fits], node[fits], u[fits]
+            node = node ^ down(u)
+            leaf = np.flatnonzero(u >> np.uint32(8) & np.uint32(1))
+            size[live[leaf]], value[live[leaf]] = step + 1, units[node[leaf]] & np.uint32(0x7FFFFFFF)
+            if step == 1:
+                deep[live] = True
+            step += 1
+
+    def matches(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, bytes matched, places of the replacements) that one longest match after another covers, over valid UTF-8 texts."""
+        _, deep, short = self._arrays()
+        pair = data.astype(np.uint16) << np.uint16(8)
+        pair[:-1] |= data[1:]
+        at = np.flatnonzero((deep[pair] | short[data]) & (data & 0xC0 != 0x80))
+        size, value, _ = self._walk(data, at, off[np.searchsorted(off, at, "right")])
+        at, size, value = at[size > 0], size[size > 0], value[size > 0]
+        if len(at) and (at[1:] < at[:-1] + size[:-1]).any():
+            take, free = np.ones(len(at), bool), 0
+            for i, (a, n) in enumerate(zip(at.tolist(), size.tolist(), strict=True)):
+                if a < free:
+                    take[i] = False
+                else:
+                    free = a + n
+            at, size, value = at[take], size[take], value[take]
+        return at, size, value
+
+    def replacements(self) -> tuple[np.ndarray, np.ndarray]:
+        """The replacements' bytes and where each of them ends."""
+        text = np.frombuffer(self.strings, np.uint8)
+        return text, np.flatnonzero(text == 0)
+
     def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
         """(bytes matched, replacement) of the longest key at this place."""
         u = self.units[0]
@@ -79,20 +139,127 @@ class Model:
         return hashlib.sha256(b"%d %d %d " % (self.dummy_prefix, self.trim, len(self.proto)) + self.proto + self.charsmap).digest()
 
     @classmethod
-    def load(cls, path: str) -> Model:
+    def load(cls, path: str, charsmap: bytes | None = None) -> Model:
+        """The model of a file; ``charsmap`` takes the place of its own map."""
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         m = pb.ModelProto()
         with open(path, "rb") as f:
             m.ParseFromString(f.read())
         spec = m.normalizer_spec
-        got = (bytes(spec.precompiled_charsmap), spec.add_dummy_prefix, spec.remove_extra_whitespaces)
+        got = (bytes(spec.precompiled_charsmap) if charsmap is None else charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces)
         if m.trainer_spec.treat_whitespace_as_suffix or not spec.escape_whitespaces:
             raise ValueError("only models that mark the start of words are supported")
         spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces = b"", False, False
         return cls(m.SerializeToString(), *got)
 
 
+def compile_map(rules: dict[bytes, bytes]) -> bytes:
+    """A compiled character map of {key: replacement}: a double-array trie and the replacements."""
+    strings, at = bytearray(), {}
+    tree: dict = {}
+    for key, to in rules.items():
+        if to not in at:
+            at[to] = len(strings)
+            strings += to + b"\0"
+        node = tree
+        for c in key:
+            node = node.setdefault(c, {})
+        node[None] = at[to]
+    units, used, bases, free, todo = {0: 0}, {0}, set(), 1, [(0, tree)]
+    for pos, node in todo:  # grows as it goes
+        labels = sorted(0 if c is None else c for c in node)
+        while free in used:
+            free += 1
+        slot = free
+        while slot in used or (base := slot ^ (labels[0] if labels else 0)) in bases or any(base ^ c in used for c in labels):
+            slot += 1
+        bases.add(base)
+        for c, child in node.items():
+            place = base ^ (c or 0)
+            used.add(place)
+            units[place] = child | 1 << 31 if c is None else c
+            if c is not None:
+                todo.append((place, child))
+        # children are found by xor with the node's own place
+        units[pos] |= (pos ^ base) << 10 | (1 << 8 if None in node else 0)
+    if max(units) >= 1 << 21:
+        raise ValueError("too many keys for one map")
+    flat = np.full(max(units) + 256, 0xFF, "<u4")
+    flat[list(units)] = list(units.values())
+    return flat.nbytes.to_bytes(4, "little") + flat.tobytes() + bytes(strings)
+
+
+@functools.cache
+def nfkc_map() -> bytes:
+    """Unicode's compatibility composition: of single signs, and of base signs with their marks (not of Hangul's letters)."""
+    rules = {}
+    for i in itertools.chain(range(0x80, 0xD800), range(0xE000, 0x110000)):
+        c = chr(i)
+        to = unicodedata.normalize("NFKC", c)
+        if to != c:
+            rules[c.encode()] = to.encode()
+        if not 0xAC00 <= i <= 0xD7A3:
+            apart = unicodedata.normalize("NFD", c)
+            if len(apart) > 1 and unicodedata.normalize("NFKC", apart) == to:
+                rules[apart.encode()] = to.encode()
+    return compile_map(rules)
+
+
+def normalised(data: np.ndarray, off: np.ndarray, charsmap: CharsMap | None, trim: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, offsets, alignment) of a chunk of valid UTF-8 texts, by the rules of ``normalise``.
+
+    Text i's alignment starts at its offset + i and has a place more than the text has bytes.
+    """
+    n = len(off) - 1
+    count, place = np.ones(len(data), np.int64), np.arange(len(data))
+    if charsmap and len(data):
+        at, size, value = charsmap.matches(data, off)
+        text, ends = charsmap.replacements()
+        length = ends[np.searchsorted(ends, value)] - value
+        gone = np.zeros(len(data) + 1, np.int64)
+        np.add.at(gone, at, 1)
+        np.add.at(gone, at + size, -1)
+        kept = np.cumsum(gone[:-1]) == 0
+        count = kept.astype(np.int64)
+        count[at] = length
+        stop = np.cumsum(count)
+        out, place = np.empty(int(stop[-1]), np.uint8), np.empty(int(stop[-1]), np.int64)
+        to = (stop - count)[kept]
+        out[to], place[to] = data[kept], np.flatnonzero(kept)
+        flat = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+        to = np.repeat((stop - count)[at], length) + flat
+        out[to], place[to] = text[np.repeat(value, length) + flat], np.repeat(at, length)
+        noff = np.concatenate([[0], stop])[off]
+    else:
+        out, noff = data, off.astype(np.int64)
+    last = np.diff(off).astype(np.int64)  # where each text's alignment ends
+    if trim and len(out):
+        space = out == 32
+        first = np.zeros(len(out), bool)
+        first[noff[:-1][np.diff(noff) > 0]] = True
+        keep = ~space
+        keep[1:] |= space[1:] & ~space[:-1]
+        keep &= ~(space & first)
+        # a kept space that nothing but spaces follow goes as well; there the text ends
+        run = np.flatnonzero(keep & space)
+        if len(run):
+            text = np.searchsorted(noff, run, "right") - 1
+            sign = np.flatnonzero(~space)
+            after = np.searchsorted(sign, run)
+            ends = (after == len(sign)) | (np.append(sign, 0)[np.minimum(after, len(sign))] >= noff[text + 1])
+            last[text[ends]] = place[run[ends]] - off[text[ends]]
+            keep[run[ends]] = False
+        # a text of spaces only ends where it began to be one
+        sizes = np.add.reduceat(np.append(keep, False).astype(np.int64), noff[:-1]) * (np.diff(noff) > 0)
+        out, place, noff = out[keep], place[keep], np.concatenate([[0], np.cumsum(sizes)])
+    owner = np.repeat(np.arange(n), np.diff(noff))
+    align = np.empty(len(out) + n, np.int64)
+    align[np.arange(len(out)) + owner] = place - off[owner]
+    align[noff[1:] + np.arange(n)] = last
+    return out, noff, align
+
+
 def normalise(data: bytes, charsmap: CharsMap | None, trim: bool) -> tuple[bytes, np.ndarray]:
     """Normalised bytes (spaces still spaces) and, for each of them and the end, the original byte.
 
@@ -173,11 +340,13 @@ class Encoder:
     def encode(self, data: np.ndarray, off: np.ndarray, spans: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]:
         """(pieces of each text, ids, starts, ends) of a chunk of texts; places are bytes of the original text, None without ``spans``."""
         n, aligned = len(off) - 1, None
-        if self.map or self.model.trim or not _valid(data):
+        if not _valid(data):
             parts = [normalise(data[off[i] : off[i + 1]].tobytes(), self.map, self.model.trim) for i in range(n)]
-            aligned = [a for _, a in parts]
+            aligned = np.concatenate([a for _, a in parts])
             sizes = np.array([len(p) for p, _ in parts], np.int64)
             data, off = np.frombuffer(b"".join(p for p, _ in parts), np.uint8), np.concatenate([[0], np.cumsum(sizes)])
+        elif self.map or self.model.trim:
+            data, off, aligned = normalised(data, off, self.map, self.model.trim)
         if not len(data):
             z = np.zeros(0, np.int64)
             return np.zeros(n, np.int64), z.astype(np.int32), z, z
@@ -222,10 +391,8 @@ class Encoder:
         base = np.repeat(off[:-1], per)
         start, stop = start - base, stop - base
         if aligned is not None:
-            at = np.cumsum(per) - per
-            for i in range(n):
-                s = slice(at[i], at[i] + per[i])
-                start[s], stop[s] = aligned[i][start[s]], aligned[i][stop[s]]
+            base = np.repeat(off[:-1] + np.arange(n), per)
+            start, stop = aligned[base + start], aligned[base + stop]
         return per, ids, start, stop
 
     def decode(self, per: np.ndarray, ids: np.ndarray) -> pa.Array:
@@ -268,17 +435,18 @@ def _list(per: np.ndarray, flat: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32)), pa.array(flat.astype(np.int32)))
 
 
-def encode(docs: DataFrame, model_file: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, model_file: str | None = None, charsmap: bytes | None = None) -> DataFrame:
     """(doc_id, ids, starts, ends, n_pieces, lossless) for every row of docs.
 
     Piece i of a text covers its bytes starts[i]:ends[i] (UTF-8, 0-based); the space that the model
     adds at the start covers none.  ``lossless``: decoding the ids gives the text back byte for
-    byte; a map that rewrites signs makes it false for the texts it rewrites.  A null or empty text
+    byte; a map that rewrites signs makes it false for the texts it rewrites.  The map is the model's
+    own, or ``charsmap``: see ``nfkc_map`` for one of Unicode's.  A null or empty text
     has empty lists and is lossless.  Long texts are encoded whole.  Rows are encoded one by one:
     repeated rows give equal rows, a null doc_id stays null, other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(Model.load(model_file or default_model()))
+    held = docs.sparkSession.sparkContext.broadcast(Model.load(model_file or default_model(), charsmap))
 
     def run(batches):
         enc = encoder(held.value)
@@ -297,7 +465,8 @@ def decode(encoded: DataFrame, model_file: str | None = None) -> DataFrame:
     """(doc_id, text) of every row of (doc_id, ids): the normalised text.
 
     Null or empty ids give an empty text; ids outside the vocabulary raise an error; null ids within a
-    list are skipped; bytes that aren't UTF-8 become U+FFFD.
+    list are skipped; bytes that aren't UTF-8 become U+FFFD.  Other columns, whatever their names,
+    are ignored; repeated rows give equal rows; an empty table gives none.
     """
     held = encoded.sparkSession.sparkContext.broadcast(Model.load(model_file or default_model()))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])

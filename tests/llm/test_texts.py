@@ -107,46 +107,12 @@ def test_pieces_in_edge_cases(odd, clash, empty):
     assert spm.encode(clash).count() == odd.count() and spm.encode(empty).count() == 0
     back = {r["doc_id"]: r["text"] for r in spm.decode(spm.encode(odd)).collect()}
     assert back == {r["doc_id"]: r["text"] or "" for r in odd.collect()}
-
-
-def darts(keys):
-    """A compiled character map of {key: replacement}, units placed one after another."""
-    strings, at = b"", {}
-    for v in keys.values():
-        if v not in at:
-            at[v] = len(strings)
-            strings += v + b"\0"
-    tree = {}
-    for k, v in keys.items():
-        node = tree
-        for c in k:
-            node = node.setdefault(c, {})
-        node[None] = at[v]
-    units, used, bases, todo = {0: 0}, {0}, set(), [(0, tree)]
-    while todo:
-        pos, node = todo.pop(0)
-        labels = [0 if c is None else c for c in node]
-        base = 1
-        while base in bases or any((base ^ c) in used for c in labels):
-            base += 1
-        bases.add(base)
-        for c, child in node.items():
-            p = base ^ (c or 0)
-            used.add(p)
-            if c is None:
-                units[p] = child | 1 << 31
-            else:
-                units[p] = c
-                todo.append((p, child))
-        units[pos] |= (pos ^ base) << 10 | (1 << 8 if None in node else 0)
-    # a node is found from its parent by xor with the parent's place
-    size = max(units) + 256
-    blob = b"".join(int(units.get(i, 0xFF)).to_bytes(4, "little") for i in range(size))
-    return len(blob).to_bytes(4, "little") + blob + strings
+    more = spm.encode(odd).selectExpr("*", "'c' AS text", "1 AS id")
+    assert spm.decode(more).count() == odd.count() and spm.decode(spm.encode(empty)).count() == 0
 
 
 def test_the_longest_prefix_is_replaced_and_aligned():
-    m = spm.CharsMap(darts({b"a": b"1", b"ab": b"22", b"abcd": b"", "ﬁ".encode(): b"fi"}))
+    m = spm.CharsMap(spm.compile_map({b"a": b"1", b"ab": b"22", b"abcd": b"", "ﬁ".encode(): b"fi"}))
     text = "xabcabcdﬁa".encode()
     out, src = spm.normalise(text, m, False)
     assert out == b"x22cfi1" and src.tolist() == [0, 1, 1, 3, 8, 8, 11, 12]
@@ -156,7 +122,7 @@ def test_the_longest_prefix_is_replaced_and_aligned():
 
 def test_spans_through_a_map():
     model = spm.Model.load(spm.default_model())
-    model.charsmap = darts({"ﬁ".encode(): b"fi", "Ａ".encode(): b"A"})
+    model.charsmap = spm.compile_map({"ﬁ".encode(): b"fi", "Ａ".encode(): b"A"})
     enc = spm.Encoder(model)
     text = "ﬁne Ａ day"
     per, ids, start, stop = enc.encode(*K.text_buffers(pa.array([text])))
@@ -164,6 +130,48 @@ def test_spans_through_a_map():
     assert stop[-1] == len(text.encode()) and (np.diff(start) >= 0).all() and ((stop - start) >= 0).all()
 
 
+def plainly(texts, m, trim):
+    parts = [spm.normalise(t.encode(), m, trim) for t in texts]
+    return [p for p, _ in parts], [a.tolist() for _, a in parts]
+
+
+def in_arrays(texts, m, trim):
+    data, off = K.text_buffers(pa.array(texts))
+    out, noff, align = spm.normalised(data, off, m, trim)
+    return [out[noff[i] : noff[i + 1]].tobytes() for i in range(len(texts))], [align[noff[i] + i : noff[i + 1] + i + 1].tolist() for i in range(len(texts))]
+
+
+def test_normalising_in_arrays_is_the_plain_rule():
+    r = random.Random(9)
+    signs = ["a", "b", "c", " ", " ", "é", "ﬁ", "日", "𝒜", "x"]
+    for _ in range(40):
+        rules = {"".join(r.choice(signs) for _ in range(r.randrange(1, 4))).encode(): "".join(r.choice(signs) for _ in range(r.randrange(0, 4))).encode() for _ in range(r.randrange(1, 12))}
+        m = r.choice([None, spm.CharsMap(spm.compile_map(rules))])
+        texts = ["".join(r.choice(signs) for _ in range(r.randrange(0, 12))) for _ in range(r.randrange(1, 8))]
+        for trim in (False, True):
+            assert in_arrays(texts, m, trim) == plainly(texts, m, trim), (rules, texts, trim)
+
+
+def test_the_unicode_map_is_the_standard_form(documents, docs_of):
+    import unicodedata
+
+    m = spm.CharsMap(spm.nfkc_map())
+    texts = ["ﬁne Ａ day № ½ …", "e\u0301te\u0301 u\u0308ber", "\u00a0x\u2003y", "x² ㎏ ｶﾞ", "𝒜𝓫 Ⅷ", ""]
+    texts += [r["text"] for r in documents.limit(50).collect()]
+    got, align = in_arrays(texts, m, False)
+    assert [g.decode() for g in got] == [unicodedata.normalize("NFKC", t) for t in texts]
+    assert align == plainly(texts, m, False)[1]
+    rows = {r["doc_id"]: r for r in spm.encode(docs_of(list(enumerate(texts))), charsmap=spm.nfkc_map()).collect()}
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=spm.default_model())
+    for i, t in enumerate(texts):
+        r, raw = rows[i], t.encode()
+        assert list(r["ids"]) == sp.encode(got[i].decode()) and r["lossless"] == (got[i] == raw)
+        cut = [raw[a:b] for a, b in zip(r["starts"], r["ends"], strict=True)]
+        assert all(0 <= a <= b <= len(raw) for a, b in zip(r["starts"], r["ends"], strict=True)) and (not got[i] == raw or b"".join(cut) == raw)
+
+
 def test_perfect_hash():
     keys = np.random.default_rng(1).choice(1 << 40, 5000, replace=False) - (1 << 39)
     mph = tokenstore.PerfectHash.build(keys)
@@ -181,7 +189,21 @@ def test_store_round_trip(documents, tmp_path):
     want = {r["doc_id"]: r["ids"] for r in spm.encode(documents).select("doc_id", "ids").collect()}
     for k in list(want)[::7]:
         assert store.get(k).tolist() == want[k]
-    assert store.get(10**12) is None
+    assert store.get(10**12) is None and len(store.files) > 2
+    # one key costs a few small reads
+    class Counting:
+        def __init__(self, f):
+            self.f, self.sizes = f, []
+
+        def read_at(self, n, at):
+            self.sizes.append(n)
+            return self.f.read_at(n, at)
+
+    for i, slots in store.slots.items():
+        slots.file = Counting(slots.file)
+        for k in [x for x in want if int(tokenstore.bucket_of(np.array([x]), len(store.files))[0]) == i][:9]:
+            slots.file.sizes.clear()
+            assert store.get(k).tolist() == want[k] and sum(slots.file.sizes) <= 80 * len(slots.sizes) + 28
     got = tokenstore.lookup(documents, uri).collect()
     assert len(got) == len(want) and all(r["intact"] for r in got)
 
@@ -191,6 +213,19 @@ def test_store_in_edge_cases(odd, clash, empty, tmp_path):
     got = tokenstore.lookup(odd, uri).collect()
     assert len(got) == 13 and all(r["intact"] for r in got) and {r["n_ids"] for r in got if r["doc_id"] in (0, 1)} == {0}
     assert tokenstore.lookup(odd, tokenstore.build(empty, f"file://{tmp_path}/none")).where("intact").count() == 0
+    assert tokenstore.lookup(clash, uri).count() == 13 and tokenstore.lookup(empty, uri).count() == 0
+    twice = tokenstore.lookup(odd.unionAll(odd), uri).collect()
+    assert len(twice) == 26 and all(r["intact"] for r in twice)
+
+
+def test_a_changed_payload_is_not_intact(documents, tmp_path):
+    uri = tokenstore.build(documents, f"file://{tmp_path}/bad", keys_per_bucket=70)
+    shard = next(p for p in sorted((tmp_path / "bad").iterdir()) if p.name.startswith("shard") and p.stat().st_size > 100)
+    raw = bytearray(shard.read_bytes())
+    raw[50] ^= 1
+    shard.write_bytes(raw)
+    got = [r for r in tokenstore.lookup(documents, uri).collect() if not r["intact"]]
+    assert len(got) == 1 and got[0]["byte_offset"] <= 50 < got[0]["byte_offset"] + 2 * got[0]["n_ids"]
 
 
 KEY, HEX = "AKIA" + "ABCDEFGH12345678", "0a1b2c3d4e5f6a7b8c9d0a1b2c3d4e5f6a7b8c9d"
