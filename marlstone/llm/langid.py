@@ -194,7 +194,8 @@ def identify(docs: DataFrame, model: LanguageModel | None, min_coverage: float =
 
     A text that has no letter (null, empty, only digits or signs), or
     less than ``min_coverage`` of whose trigrams occurred in training, is ``und`` and not kept.
-    Whole texts are read, whatever their length.  Rows are judged one by one: repeated rows get
+    Whole texts are read, whatever their length.  Languages with equally many votes are told by their
+    summed margins, then by name.  Rows are judged one by one: repeated rows get
     equal results, a null doc_id stays null, other columns are ignored.  Without any labelled row
     there is no model: language and family are null and everything is kept.
     """
@@ -212,7 +213,8 @@ def identify(docs: DataFrame, model: LanguageModel | None, min_coverage: float =
 def keep_identified(docs: DataFrame, per_language: int = 400, min_coverage: float = 0.5) -> DataFrame:
     """The rows of docs whose text is in a language that the model knows; all columns as they are.
 
-    Null and empty texts, and texts without letters, go; see ``identify``.
+    Null and empty texts, and texts without letters, go; repeated rows stay or go together, and
+    without any labelled row everything stays; see ``identify``.
     """
     bounded_batches(docs.sparkSession)
     model = fit(docs, per_language)

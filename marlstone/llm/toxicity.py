@@ -278,7 +278,13 @@ def _dense(rows, cols: np.ndarray) -> np.ndarray:
 
 
 def train(rows: list[tuple[int, str]], landmarks: int = 384, negatives: int = 5000, rounds: int = 4) -> ToxicityModel | None:
-    """A model of (toxic, text) rows; None unless both labels occur."""
+    """A model of (toxic, text) rows; None unless both labels occur.
+
+    All words of the rows are counted and scored each round, and all rows decide the thresholds.  The
+    machine itself is fitted on the toxic words and on a bounded sample of the clean ones: about
+    ``negatives``, a quarter of them the commonest, the rest drawn at random, and after each round
+    half as many again, those that the machine takes for toxic most.
+    """
     rows = [(t, x) for t, x in rows if x]
     y = np.array([t for t, _ in rows], bool)
     if not y.any() or y.all():
@@ -457,12 +463,15 @@ def _calibrate(model: ToxicityModel, y: np.ndarray, top: np.ndarray, doc: np.nda
 RESULT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("toxic_words", T.LongType()), T.StructField("toxic", T.BooleanType())])
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = 2000) -> ToxicityModel | None:
-    """Fitted on at most ``per_label`` documents of each label (the documented bound)."""
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = 2000, negatives: int = 5000) -> ToxicityModel | None:
+    """Fitted on at most ``per_label`` documents of each label, and on about ``negatives`` of their clean words (the documented bounds).
+
+    Documents with several labels are toxic if one says so; null labels and ids are left out.
+    """
     known = labels.select(F.col("doc_id").alias("k"), F.col("toxic").cast("int").alias("l")).where(F.col("l").isin(0, 1)).groupBy("k").agg(F.max("l").alias("l"))
     ids = bounded_sample(known, "l", "k", per_label)
     got = docs.select(F.col("doc_id").alias("k"), F.col("text").alias("t")).join(F.broadcast(ids), "k").select("l", "t").distinct().toArrow()
-    return train(sorted((a, b) for a, b in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True) if b))
+    return train(sorted((a, b) for a, b in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True) if b), negatives=negatives)
 
 
 def flag(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
@@ -470,6 +479,11 @@ def flag(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
     threshold, several different words score at least a lower one, or the evidence of words and pairs
     of words in a sentence or in the whole text exceeds a clean text's; all bounds come from training.
 
+    ``score`` is the highest score of a word: exact from the lowest bound of the model on (-0.4 or
+    less), below it a bound from above that no decision uses.  Signs of a word that are more than
+    ``SPAN`` places apart aren't one subsequence, so an insult with more than three signs between each
+    two of its own isn't recognised.  Texts at a threshold are toxic.
+
     A text without words (null, empty, only signs) has score -1 and isn't toxic.  Long texts are
     read whole.  Rows are judged one by one: repeated rows give equal rows, a null doc_id stays
     null, other columns are ignored.  Without both labels there is no model: score is null and

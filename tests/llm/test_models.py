@@ -66,19 +66,90 @@ def test_insults_are_caught_with_gaps_and_insertions():
     assert [c > 0 for c in model.score(pa.array(odd))[1]] == [True] * 5 + [False] * 3
 
 
+def kernel_vector(signs):
+    """Weights of a word's subsequences of three signs, by going through all of them."""
+    import numpy as np
+
+    v = np.zeros(toxicity.DIM)
+    n = len(signs)
+    for i in range(n):
+        for j in range(i + 1, n):
+            for k in range(j + 1, min(n, i + toxicity.SPAN)):
+                x, y, z = (np.array([signs[p]], np.uint8) for p in (i, j, k))
+                v[int(toxicity._bucket(x, y, z)[0])] += toxicity.DECAY ** (k - i + 1)
+    return v / max(np.linalg.norm(v), 1e-12)
+
+
 def test_scoring_by_the_table_is_the_kernel_expansion():
     import numpy as np
 
     from marlstone.llm import textkernel as K
 
-    data, off = K.text_buffers(pa.array(["idiot idiots idxiot thing"]))
+    data, off = K.text_buffers(pa.array(["idiot idiots idxiot thing banana a"]))
     w = toxicity.words(data, off)
-    f = toxicity.features(w)
-    k = [[float(sum(v * dict(zip(*b, strict=True)).get(i, 0) for i, v in zip(*a, strict=True))) for b in f] for a in f]
-    assert np.allclose(np.diag(k), 1) and np.allclose(k, np.transpose(k)) and np.linalg.eigvalsh(np.array(k)).min() > -1e-9
-    names = [bytes(x + 97 for x in w.name(i)[1:-1]).decode() for i in range(4)]
-    i, x, th = (names.index(n) for n in ("idiot", "idxiot", "thing"))
-    assert k[i][x] > 0.5 > k[i][th]
+    names = [bytes(x + 97 for x in w.name(i)[1:-1]).decode() for i in range(len(w.sizes))]
+    plain = {n: kernel_vector(list(w.name(i))) for i, n in enumerate(names)}
+    for n, (i, v) in zip(names, toxicity.features(w), strict=True):
+        assert np.allclose(plain[n][i], v) and np.isclose((plain[n] ** 2).sum(), (v**2).sum())
+    # the machine over landmarks, sum of beta k(landmark, word), is one gather a subsequence
+    beta = {"idiot": 2.0, "thing": -1.5, "banana": -0.5}
+    table = sum(c * plain[n] for n, c in beta.items())
+    model = toxicity.ToxicityModel(table.astype(np.float32), 0.25, -9.0)
+    want = [sum(c * float(plain[m] @ plain[n]) for m, c in beta.items()) + 0.25 for n in names]
+    assert np.allclose(model.word_scores(w), want, atol=1e-5)
+    # words below the threshold have a bound from above
+    model.threshold = model.low = 1.0
+    assert (model.word_scores(w) >= np.array(want) - 1e-5).all()
+    score = dict(zip(names, want, strict=True))
+    assert score["idxiot"] > 1 > score["banana"] and plain["idiot"] @ plain["idxiot"] > 0.5 > plain["idiot"] @ plain["thing"]
+
+
+def test_held_out_documents_and_labels(spark, sf):
+    import os
+
+    d = os.path.join(os.path.dirname(sf.rstrip("/")), "sf0.01")
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    y = {r["doc_id"]: bool(r["toxic"]) for r in labels.collect()}
+    model = toxicity.fit(docs, labels.where("doc_id % 2 = 0"))
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.flag(docs.where("doc_id % 2 = 1"), model).collect()}
+    bad = [i for i in got if y.get(i)]
+    good = [i for i in got if i in y and not y[i]]
+    assert bad and sum(got[i] for i in bad) >= 0.8 * len(bad) and sum(got[i] for i in good) <= 0.03 * len(good)
+
+
+def plainly(model, text):
+    """(language, coverage, trigrams) of a text, trigram by trigram."""
+    low = f" {text or ''} ".lower().encode() if (text or "").isascii() else (" " + "".join(c.lower() if len(c.encode()) == 1 or "À" <= c <= "Þ" and c != "×" else c for c in text or "") + " ").encode()
+    b = [c if 97 <= c <= 122 or c >= 128 else 32 for c in low]
+    idx = [((b[i] | b[i + 1] << 8 | b[i + 2] << 16) * 2654435761 & 0xFFFFFFFF) >> 16 for i in range(len(b) - 2) if b[i : i + 3] != [32] * 3]
+    if not idx:
+        return "und", 0.0, 0
+    cover = sum(float(model.seen[i]) for i in idx) / len(idx)
+    scores = [sum(float(w[i]) for i in idx) * langid.SCALE / len(idx) for w in model.weights]
+
+    def best(group, names):
+        votes, total = dict.fromkeys(names, 0), dict.fromkeys(names, 0.0)
+        for (g, x, y), s in zip(model.duels, scores, strict=True):
+            if g == group:
+                votes[x if s >= 0 else y] += 1
+                total[x] += s
+                total[y] -= s
+        return max(names, key=lambda n: (votes[n], total[n]))
+
+    family = best("", model.families)
+    return best(family, model.languages[family]), cover, len(idx)
+
+
+def test_identification_equals_the_plain_rule(spark, sf, documents):
+    from marlstone.llm.queries import QUERIES
+
+    model = langid.fit(documents)
+    got = {r["doc_id"]: r for r in QUERIES["op5_language_id"](spark, sf).collect()}
+    for r in documents.where("n_chars < 3000").limit(80).collect():
+        lang, cover, n = plainly(model, r["text"])
+        kept = n > 0 and cover >= 0.5
+        g = got[r["doc_id"]]
+        assert g["kept"] == kept and abs(g["coverage"] - cover) < 1e-6 and g["lang_pred"] == (lang if kept else "und")
 
 
 def test_toxicity_edge_cases(odd, clash, empty, spark):

@@ -1,27 +1,86 @@
-"""The pipeline's stages against the same rules applied in plain Python, and what must stay or go."""
+"""The pipeline's result against its rules applied in plain Python, and what must stay or go."""
+
+import unicodedata
 
 import corpus_pipeline
-from marlstone.llm import spm
-
-
-def test_stages_and_result(spark, sf, tmp_path):
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert names == ["language_id", "line_dedup", "near_duplicates", "decontamination", "sentencepiece"]
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    ids, was = [], None
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, sf)
-        if name != "sentencepiece":
-            assert out.columns == docs.columns
-        out.write.parquet(f"{tmp_path}/{name}")
-        docs = spark.read.parquet(f"{tmp_path}/{name}")
-        now = {r["doc_id"] for r in docs.select("doc_id").collect()}
-        assert was is None or now <= was
-        was = now
-        ids.append(now)
-    assert {(r["doc_id"], tuple(r["ids"])) for r in corpus_pipeline.run(spark, sf).collect()} == {(r["doc_id"], tuple(r["ids"])) for r in docs.collect()}
-    before = spark.read.parquet(f"{tmp_path}/decontamination")
-    assert {(r["doc_id"], tuple(r["ids"])) for r in spm.encode(before).collect()} == {(r["doc_id"], tuple(r["ids"])) for r in docs.collect()}
+import numpy as np
+from test_lines_and_copies import lines_left, pairs_of
+from test_models import plainly
+from test_texts import simple
+
+from marlstone.llm import decontaminate as D
+from marlstone.llm import langid, spm
+
+
+def within(pattern, text, k):
+    """Whether the pattern is within k edits of a part of the text, by the plain recurrence a column at a time."""
+    p, t = np.frombuffer(pattern.encode(), np.uint8), np.frombuffer(text.encode(), np.uint8)
+    row, at = np.zeros(len(t) + 1, np.int64), np.arange(len(t) + 1)
+    for i, c in enumerate(p, 1):
+        new = np.empty_like(row)
+        new[0] = i
+        new[1:] = np.minimum(row[:-1] + (t != c), row[1:] + 1)
+        row = np.minimum.accumulate(new - at) + at
+    return row.min() <= k
+
+
+def windows(text, window=100, step=20, rate=0.06):
+    s = simple(text)
+    last = max(0, len(s) - window)
+    for a in sorted({*range(0, last, step), last}) if len(s) >= D.Q else []:
+        p = s[a : a + window]
+        yield p, min(int(rate * len(p)), max((len(p) - D.Q) // D.Q, 0))
+
+
+def test_run_equals_the_plain_rules(spark, sf, docs_of, tmp_path):
+    import sentencepiece
+
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").limit(4).collect()]
+    base = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{sf}/documents.parquet").where("n_chars < 1500").orderBy("doc_id").limit(50).collect()]
+    rows = list(base)
+    for i, (_, t, lang) in enumerate(base[:8]):
+        w = t.replace("\n", " ").split()
+        rows.append((5000 + i, " ".join(w[::-1]) + "\n" + t.split("\n")[0], lang))
+        rows.append((6000 + i, " ".join([*w[::-1][: len(w) // 2], "odd", *w[::-1][len(w) // 2 :]]), lang))
+        rows.append((7000 + i, " ".join(w[::2]) + " " + items[i % 4][1] + " ﬁn", lang))
+        rows.append((8000 + i, "12 34 !!", lang))
+    docs_of(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    model = langid.fit(docs_of(rows))
+    left = []
+    for d, t, _ in rows:
+        _, cover, n = plainly(model, t)
+        if n and cover >= 0.5:
+            left.append((d, t))
+    after = lines_left(left, 0.8)
+    left = [(d, after[d]) for d, t in left if after[d] == t or after[d].split()]
+    group = {d: d for d, _ in left}
+    pairs = pairs_of(left, 0.6)
+    for _ in group:
+        for a, b, _ in pairs:
+            group[a] = group[b] = min(group[a], group[b])
+    left = [(d, t) for d, t in left if group[d] == d]
+    parts = [w for _, t in items for w in windows(t)]
+    left = [(d, t) for d, t in left if not any(within(p, simple(t), k) for p, k in parts)]
+    sp = sentencepiece.SentencePieceProcessor(model_file=spm.default_model())
+    want = {(d, tuple(sp.encode(unicodedata.normalize("NFKC", t)))) for d, t in left}
+    got = {(r["doc_id"], tuple(r["ids"])) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == want and 0 < len(want) < len(rows) - 12
+
+
+def test_stages_keep_columns_and_clean_documents(spark, sf, odd, clash, tmp_path):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_duplicates", "decontamination", "sentencepiece"]
+    # nulls, empty and very long texts, rows that share an id or are repeated, further columns of clashing names, no row at all
+    for name, rows in (("odd", clash.unionAll(clash.where("doc_id = 8"))), ("none", odd.limit(0))):
+        docs = rows.cache()
+        for stage_name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf)
+            if stage_name != "sentencepiece":
+                assert out.columns == docs.columns
+            out.write.parquet(f"{tmp_path}/{name}-{stage_name}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}-{stage_name}")
+        ids = [r["doc_id"] for r in docs.collect()]
+        assert (9 in ids and 0 not in ids and ids.count(10) <= 1) if name == "odd" else not ids
 
 
 def test_clean_documents_stay_and_planted_ones_go(spark, sf, tmp_path):
