@@ -32,6 +32,8 @@ from .common import bounded_batches, lean
 SPACE = "▁"
 #: Segments a worker remembers before it starts anew.
 CACHE = 300_000
+#: Bytes encoded at a time; a longer text is encoded whole.
+PART = 1 << 18
 
 
 def default_model() -> str:
@@ -192,7 +194,7 @@ def compile_map(rules: dict[bytes, bytes]) -> bytes:
 
 @functools.cache
 def nfkc_map() -> bytes:
-    """Unicode's compatibility composition: of single signs, and of base signs with their marks (not of Hangul's letters)."""
+    """Unicode's compatibility composition: of single signs, and of base signs and half-width kana with their marks (not of Hangul's letters)."""
     rules = {}
     for i in itertools.chain(range(0x80, 0xD800), range(0xE000, 0x110000)):
         c = chr(i)
@@ -203,34 +205,43 @@ def nfkc_map() -> bytes:
             apart = unicodedata.normalize("NFD", c)
             if len(apart) > 1 and unicodedata.normalize("NFKC", apart) == to:
                 rules[apart.encode()] = to.encode()
+    for kana, mark in itertools.product(range(0xFF66, 0xFF9E), "\uff9e\uff9f"):
+        to = unicodedata.normalize("NFKC", chr(kana) + mark)
+        if len(to) == 1:
+            rules[(chr(kana) + mark).encode()] = to.encode()
     return compile_map(rules)
 
 
-def normalised(data: np.ndarray, off: np.ndarray, charsmap: CharsMap | None, trim: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def normalised(data: np.ndarray, off: np.ndarray, charsmap: CharsMap | None, trim: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """(bytes, offsets, alignment) of a chunk of valid UTF-8 texts, by the rules of ``normalise``.
 
-    Text i's alignment starts at its offset + i and has a place more than the text has bytes.
+    Text i's alignment starts at its offset + i and has a place more than the text has bytes; it is
+    None where no byte moved.
     """
     n = len(off) - 1
-    count, place = np.ones(len(data), np.int64), np.arange(len(data))
-    if charsmap and len(data):
-        at, size, value = charsmap.matches(data, off)
+    at, size, value = charsmap.matches(data, off) if charsmap and len(data) else (np.zeros(0, np.int64),) * 3
+    if not len(at) and not trim:
+        return data, off, None
+    kind = np.int32 if len(data) < 1 << 28 else np.int64  # a replacement may be longer than its key
+    place = np.arange(len(data), dtype=kind)
+    if len(at):
         text, ends = charsmap.replacements()
         length = ends[np.searchsorted(ends, value)] - value
-        gone = np.zeros(len(data) + 1, np.int64)
-        np.add.at(gone, at, 1)
-        np.add.at(gone, at + size, -1)
-        kept = np.cumsum(gone[:-1]) == 0
-        count = kept.astype(np.int64)
+        gone = np.zeros(len(data) + 1, np.int8)
+        gone[at] += 1
+        gone[at + size] -= 1
+        kept = np.cumsum(gone[:-1], dtype=np.int8) == 0
+        count = kept.astype(kind)
         count[at] = length
-        stop = np.cumsum(count)
-        out, place = np.empty(int(stop[-1]), np.uint8), np.empty(int(stop[-1]), np.int64)
+        stop = np.cumsum(count, dtype=kind)
+        out, place = np.empty(int(stop[-1]), np.uint8), np.empty(int(stop[-1]), kind)
         to = (stop - count)[kept]
         out[to], place[to] = data[kept], np.flatnonzero(kept)
         flat = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
         to = np.repeat((stop - count)[at], length) + flat
         out[to], place[to] = text[np.repeat(value, length) + flat], np.repeat(at, length)
-        noff = np.concatenate([[0], stop])[off]
+        noff = np.append(stop, 0)[off - 1].astype(np.int64)
+        noff[off == 0] = 0
     else:
         out, noff = data, off.astype(np.int64)
     last = np.diff(off).astype(np.int64)  # where each text's alignment ends
@@ -253,9 +264,9 @@ def normalised(data: np.ndarray, off: np.ndarray, charsmap: CharsMap | None, tri
         # a text of spaces only ends where it began to be one
         sizes = np.add.reduceat(np.append(keep, False).astype(np.int64), noff[:-1]) * (np.diff(noff) > 0)
         out, place, noff = out[keep], place[keep], np.concatenate([[0], np.cumsum(sizes)])
-    owner = np.repeat(np.arange(n), np.diff(noff))
-    align = np.empty(len(out) + n, np.int64)
-    align[np.arange(len(out)) + owner] = place - off[owner]
+    owner = np.repeat(np.arange(n, dtype=kind), np.diff(noff))
+    align = np.empty(len(out) + n, kind)
+    align[np.arange(len(out), dtype=kind) + owner] = place - off.astype(kind)[owner]
     align[noff[1:] + np.arange(n)] = last
     return out, noff, align
 
@@ -452,7 +463,7 @@ def encode(docs: DataFrame, model_file: str | None = None, charsmap: bytes | Non
         enc = encoder(held.value)
         for b in batches:
             data, off = K.text_buffers(b.column(1))
-            for lo, hi in K.chunks(off):
+            for lo, hi in K.chunks(off, PART):
                 part, o = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
                 per, ids, start, stop = enc.encode(part, o)
                 same = pc.equal(enc.decode(per, ids), K.column(b.column(1).slice(lo, hi - lo)).cast(pa.large_binary()))

@@ -138,6 +138,8 @@ def plainly(texts, m, trim):
 def in_arrays(texts, m, trim):
     data, off = K.text_buffers(pa.array(texts))
     out, noff, align = spm.normalised(data, off, m, trim)
+    if align is None:
+        align = np.concatenate([np.arange(len(t.encode()) + 1) for t in texts])
     return [out[noff[i] : noff[i + 1]].tobytes() for i in range(len(texts))], [align[noff[i] + i : noff[i + 1] + i + 1].tolist() for i in range(len(texts))]
 
 
