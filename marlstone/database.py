@@ -300,13 +300,20 @@ class Database:
         return min(self._pins, default=self.csn())
 
     # writing: a change is (all columns, _op) with full rows; deletions carry the old row
-    def commit(self, changes: list[tuple[str, DataFrame, bool]], since: int | None = None) -> int:
+    def commit(self, changes: list[tuple[str, DataFrame | str, bool]], since: int | None = None) -> int:
         """Publishes changes of several tables as one commit.
 
-        changes: (table, rows with columns + _op + _old JSON of the row before, pure inserts).
+        changes: (table, rows with columns + _op + _old JSON of the row before, or where such rows are staged, pure inserts).
         ``since``: the commit that a transaction read; keys committed after it conflict.
         """
-        staged = [(n, self._stage(df), pure) for n, df, pure in changes]
+        staged = [(n, df if isinstance(df, str) else self._stage(df), pure) for n, df, pure in changes]
+        try:
+            return self._commit(staged, since)
+        finally:
+            for _, path, _ in staged:
+                self._unstage(path)
+
+    def _commit(self, staged: list[tuple[str, str, bool]], since: int | None) -> int:
         with self._turn():
             if since is not None:
                 for name, path, _pure in staged:
@@ -333,8 +340,6 @@ class Database:
                 feed.write.parquet(self._path("pending", ops[-1]["feed"]))
             done = self._publish(ops)
             self._settle_feed()
-        for _, path, _ in staged:
-            shutil.rmtree(self._path(path), ignore_errors=True)
         return done
 
     def _stage(self, df: DataFrame) -> str:
@@ -342,6 +347,9 @@ class Database:
         df.write.parquet(self._path(path))
         return path
 
+    def _unstage(self, path: str) -> None:
+        shutil.rmtree(self._path(path), ignore_errors=True)
+
     def _conflicts(self, name: str, path: str, since: int) -> None:
         t = self._table(name)
         if t["spec"].keyless:
@@ -371,25 +379,45 @@ class Database:
             return rows
         return rows.withColumn("_rowid", F.monotonically_increasing_id() + F.lit(base or t["next_rowid"]))
 
-    def inserts(self, name: str, rows: DataFrame, base_rowid: int | None = None) -> DataFrame:
-        """Validated changes for new rows."""
+    def inserts(self, name: str, rows: DataFrame, base_rowid: int | None = None, checked: bool = True) -> DataFrame:
+        """Changes for new rows, validated unless that comes later."""
         t = self._table(name)
         spec = t["spec"]
         if {c.lower() for c in rows.columns} != {c.lower() for c in spec.names()}:
             raise SchemaMismatch(f"{name} has columns {spec.names()}")
         rows = coerced(rows, spec)
-        spec.validate(rows)
+        if checked:
+            spec.validate(rows)
         return self._numbered(t, rows, base_rowid).withColumn("_op", F.lit("I")).withColumn("_old", F.lit(None).cast("string"))
 
     def insert(self, name: str, rows: DataFrame) -> int:
         """New rows in one commit; a key that exists or occurs twice is an error and nothing is written."""
-        df = self.inserts(name, rows)
-        self._no_duplicates(self._table(name), df)
-        return self.commit([(name, df, True)])
+        return self.commit([(name, self.inserts(name, rows), True)])
 
     def bulk_load(self, name: str, rows: DataFrame) -> int:
-        """As insert."""
-        return self.insert(name, rows)
+        """As insert, for many rows: they are written once, spread by ranges of the key, and checked where they lie."""
+        with self._turn():
+            self._settle_feed()
+            t, csn = self._table(name), self.csn() + 1
+            spec = t["spec"]
+            data = f"data/{t['id']}-{csn:012d}-{uuid.uuid4().hex[:8]}"
+            key = F.col(f"`{spec.key}`")
+            df = self.inserts(name, rows, checked=False).select(*(F.col(f"`{n}`") for n in spec.names(hidden=True)), F.lit(csn).cast("long").alias("_csn"), "_op")
+            try:
+                (df if spec.keyless else df.repartitionByRange(key)).sortWithinPartitions(key).write.parquet(self._path(data))
+                back = self.spark.read.schema(df.schema).parquet(self._path(data))
+                spec.validate(back)
+                self._no_duplicates(t, back)
+                got = back.agg(F.count("*").alias("n"), (F.max("_rowid") if spec.keyless else F.lit(0)).alias("r")).first()
+                op = {"kind": "write", "table": spec.name, "pure": True, "path": data, "rows": got["n"], "next_rowid": int(got["r"] or 0) + 1, "feed": f"{csn:012d}-{uuid.uuid4().hex}"}
+                new = back.select(F.lit(spec.name).alias("table"), F.lit("insert").alias("op"), F.lit(csn).cast("long").alias("csn"), F.lit(None).cast("string").alias("old"), _json(spec).alias("new"))
+                new.write.parquet(self._path("pending", op["feed"]))
+                self._publish([op])
+            except BaseException:
+                shutil.rmtree(self._path(data), ignore_errors=True)
+                raise
+            self._settle_feed()
+        return csn
 
     def upserts(self, name: str, rows: DataFrame, current: DataFrame | None = None) -> DataFrame:
         t = self._table(name)

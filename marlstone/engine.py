@@ -111,17 +111,16 @@ class Engine:
             txn.commit()
 
     def _write(self, name: str, df: DataFrame, pure: bool) -> None:
-        df = df.cache()
-        try:
-            self.affected = df.count()
-            if self.txn:
-                self.txn.add(name, df, pure)
-            elif self.affected:
-                if pure:
-                    self.db._no_duplicates(self.db._table(name), df)
-                self.db.commit([(name, df, pure)])
-        finally:
-            df.unpersist()
+        if self.txn:
+            self.txn.add(name, df, pure)
+            self.affected = self.txn.staged[-1][1].count()
+            return
+        path = self.db._stage(df)
+        self.affected = self.spark.read.parquet(self.db._path(path)).count()
+        if self.affected:
+            self.db.commit([(name, path, pure)])
+        else:
+            self.db._unstage(path)
 
     def _insert(self, text: str) -> None:
         m = re.match(r"(?is)^INSERT\s+INTO\s+(\"[^\"]+\"|`[^`]+`|\w+)\s*(\((?!\s*SELECT\b)[^)]*\))?\s*(VALUES\b.*|\(?\s*(?:SELECT|WITH|TABLE)\b.*)$", text)

@@ -128,15 +128,15 @@ class GraphView:
 
     def _rank(self, start: DataFrame, iterations: int, damping: float) -> DataFrame:
         """start: (id, base) with the teleport share of each vertex, which is also the first rank."""
-        shares = self._shares()
-        base = written(start.join(shares.select(F.col("src").alias("id")).distinct().withColumn("sends", F.lit(True)), "id", "left"), "base")
-        rank = base.select("id", F.col("base").alias("rank"), "base", "sends")
+        shares, base = self._shares(), written(start, "base")
+        rank = base.select("id", F.col("base").alias("rank"))
         for _ in range(iterations):
-            lost = rank.where("sends is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("m")).first()["m"]
-            got = rank.join(shares, F.col("id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-            new = F.col("base") * (1 - damping) + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(float(lost)) * F.col("base"))
-            rank = written(base.join(got, base["id"] == got["dst"], "left").select("id", new.alias("rank"), "base", "sends"), "rank")
-        return rank.select("id", "rank")
+            # what a vertex without out-edges has goes to no vertex in particular
+            sent = rank.join(shares, F.col("id") == F.col("src"), "left").groupBy("dst").agg(F.sum(F.col("rank") * F.coalesce("share", F.lit(1.0))).alias("got"))
+            lost = F.broadcast(sent.where("dst is null").agg(F.coalesce(F.sum("got"), F.lit(0.0)).alias("lost")))
+            new = F.col("base") * (1 - damping) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("base"))
+            rank = written(base.join(sent, base["id"] == sent["dst"], "left").crossJoin(lost).select("id", new.alias("rank")), "rank", instead_of=rank)
+        return rank
 
     def pagerank(self, iterations: int = 20, damping: float = 0.85) -> DataFrame:
         """(id, rank) after exactly so many steps; the rank of vertices without out-edges spreads evenly."""
@@ -310,9 +310,13 @@ class GraphView:
         n = max(deg.count() - 1, 1)
         return deg.select("id", ((F.col("out_degree") + F.col("in_degree")) / F.lit(float(n))).alias("centrality"))
 
-    def _all_hops(self) -> DataFrame:
-        """(source, id, hops, ways): fewest hops between every pair and how many such paths there are.  The size of the answer is that of the reachable pairs."""
-        seen = written(self.vertices().select(F.col("id").alias("source"), "id", F.lit(0).cast("long").alias("hops"), F.lit(1.0).alias("ways")), "hops")
+    def _sources(self, blocks: int) -> list[DataFrame]:
+        """All vertices as (id), in so many parts."""
+        return [self.vertices().where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) for b in range(blocks)]
+
+    def _all_hops(self, sources: DataFrame) -> DataFrame:
+        """(source, id, hops, ways): fewest hops from these sources and how many such paths there are.  The size of the answer is that of the reachable pairs."""
+        seen = written(sources.select(F.col("id").alias("source"), "id", F.lit(0).cast("long").alias("hops"), F.lit(1.0).alias("ways")), "hops")
         front, hops = seen, 0
         while not front.isEmpty():
             hops += 1
@@ -321,13 +325,44 @@ class GraphView:
             seen = seen.unionAll(front)
         return written(seen, "hops")
 
-    def closeness_centrality(self) -> DataFrame:
-        """(id, centrality): vertices reached over out-edges by the sum of hops to them; 0 if none."""
-        return self._all_hops().groupBy(F.col("source").alias("id")).agg((F.count("*") - 1).alias("n"), F.sum("hops").alias("h")).select("id", F.when(F.col("h") > 0, F.col("n") / F.col("h")).otherwise(0.0).alias("centrality"))
+    def closeness_centrality(self, blocks: int = 1) -> DataFrame:
+        """(id, centrality): vertices reached over out-edges by the sum of hops to them; 0 if none.
+
+        A row is kept for each pair of a source and what it reaches, of one block of sources at a time.
+        """
+        out = None
+        for part in self._sources(blocks):
+            hops = self._all_hops(part)
+            one = written(self._closeness(hops), "closeness", instead_of=hops)
+            out = one if out is None else out.unionAll(one)
+        return out
+
+    @staticmethod
+    def _closeness(hops: DataFrame) -> DataFrame:
+        return hops.groupBy(F.col("source").alias("id")).agg((F.count("*") - 1).alias("n"), F.sum("hops").alias("h")).select("id", F.when(F.col("h") > 0, F.col("n") / F.col("h")).otherwise(0.0).alias("centrality"))
+
+    def betweenness_centrality(self, blocks: int = 1, sampled: int | None = None) -> DataFrame:
+        """(id, centrality): Brandes' directed, unweighted, unnormalised measure, level by level for a block of sources at a time.
 
-    def betweenness_centrality(self) -> DataFrame:
-        """(id, centrality): Brandes' directed, unweighted, unnormalised measure, for all sources at once, level by level."""
-        hops = self._all_hops()
+        With ``sampled``, an estimate from so many sources, the same ones each time, scaled to all.
+        """
+        nodes, scale = written(self.vertices(), "nodes"), 1.0
+        parts = self._sources(blocks)
+        if sampled is not None:
+            n = nodes.count()
+            parts, scale = [written(nodes.orderBy(F.xxhash64("id"), "id").limit(sampled), "sample")], n / max(1, min(sampled, n))
+        total = None
+        for part in parts:
+            one = self._between(part)
+            if one is not None:
+                total = one if total is None else total.unionAll(one)
+        if total is None:
+            return nodes.withColumn("centrality", F.lit(0.0))
+        return nodes.join(total.groupBy("id").agg(F.sum("d").alias("d")), "id", "left").select("id", (F.coalesce("d", F.lit(0.0)) * scale).alias("centrality"))
+
+    def _between(self, sources: DataFrame) -> DataFrame | None:
+        """(id, d): what paths from these sources add to each vertex."""
+        hops = self._all_hops(sources)
         top = hops.agg(F.max("hops").alias("m")).first()["m"] or 0
         child = hops.select("source", F.col("id").alias("w"), F.col("hops").alias("wh"), F.col("ways").alias("ww"))
         links = written(
@@ -342,10 +377,7 @@ class GraphView:
             delta = now.select("source", F.col("v").alias("w"), "d")
             part = now.where("source <> v").groupBy(F.col("v").alias("id")).agg(F.sum("d").alias("d"))
             total = part if total is None else total.unionAll(part)
-        nodes = self.vertices()
-        if total is None:
-            return nodes.withColumn("centrality", F.lit(0.0))
-        return nodes.join(total.groupBy("id").agg(F.sum("d").alias("d")), "id", "left").select("id", F.coalesce("d", F.lit(0.0)).alias("centrality"))
+        return None if total is None else written(total.groupBy("id").agg(F.sum("d").alias("d")), "between")
 
     # link prediction
     def common_neighbors(self, a: int, b: int) -> DataFrame:

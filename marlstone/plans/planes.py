@@ -7,7 +7,6 @@ oracle says the same of the tables that it was loaded from.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -39,7 +38,7 @@ def folder(spark: SparkSession) -> str:
     if at.startswith("file:"):
         at = at[5:].replace("//", "/", 1) if at.startswith("file://") else at[5:]
     elif "://" in at:
-        at = tempfile.gettempdir()
+        raise ValueError(f"tables need a mounted file system, not {at}")
     path = os.path.join(at, f"db-{uuid.uuid4().hex}")
     os.makedirs(path)
     return path
@@ -415,6 +414,7 @@ class _Totals(cdc.Worker):
     def __init__(self):
         self.price: dict[int, float] = {}
         self.commits: list[int] = []
+        self.passes: list[int] = []
 
     def apply(self, change: dict) -> None:
         if change["new"] is None:
@@ -425,13 +425,16 @@ class _Totals(cdc.Worker):
     def on_commit(self, csn: int) -> None:
         self.commits.append(csn)
 
+    def on_pass(self, csn: int) -> None:
+        self.passes.append(csn)
 
-@plane("SELECT k, CASE WHEN k % 4 = 0 THEN price + 1 ELSE price END AS price, '[2, 3, 4]' AS commits FROM {o} WHERE k % 6 <> 0")
+
+@plane("SELECT k, CASE WHEN k % 4 = 0 THEN price + 1 ELSE price END AS price, '[2, 3, 4] [3]' AS commits FROM {o} WHERE k % 6 <> 0")
 def t_worker(spark, d) -> DataFrame:
     workers = cdc.Workers(_changed(spark, d).db)
-    w = workers.register("totals", _Totals(), "o")
+    w = workers.register("totals", _Totals(), "o", pass_every=2)
     w.settle()
-    rows, commits = w.query(lambda x: (sorted(x.price.items()), str(x.commits)))
+    rows, commits = w.query(lambda x: (sorted(x.price.items()), f"{x.commits} {x.passes}"))
     workers.stop_worker("totals")
     return spark.createDataFrame([(k, p, commits) for k, p in rows], "k long, price double, commits string")
 
@@ -441,7 +444,7 @@ def t_subscriptions(spark, d) -> DataFrame:
     e = Engine(spark, folder(spark))
     e.sql("CREATE TABLE s (k BIGINT PRIMARY KEY)")
     got: list[dict] = []
-    called, polled, iterated = cdc.on_change(e.db, "s", got.append), cdc.ChangeStream(e.db, "s"), cdc.ChangeStream(e.db)
+    called, polled, iterated = cdc.on_change(e.db, "s", lambda old, new: got.append(new)), cdc.ChangeStream(e.db, "s"), cdc.ChangeStream(e.db)
     e.sql("INSERT INTO s VALUES (1), (2)")
     e.sql("INSERT INTO s VALUES (3)")
     called.settle()

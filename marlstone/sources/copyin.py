@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import DataError, SqlError
+from ..errors import SqlError
 from ..spec import TableSpec, split_top, unquoted
 
 _UNSET = "\x00\x01unset\x01\x00"
@@ -39,34 +39,25 @@ def parse_copy(sql: str) -> tuple[str, list[str] | None, str, dict]:
     return unquoted(m.group(1)), columns, m.group(3).replace("''", "'"), got
 
 
-def split_line(line: str, sep: str, quote: str) -> list[tuple[str, bool]]:
-    """(field, whether it was quoted); a doubled quote within quotes is one."""
-    out, at, n = [], 0, len(line)
-    while True:
-        if at < n and line[at] == quote:
-            buf, at = [], at + 1
-            while True:
-                end = line.find(quote, at)
-                if end < 0:
-                    raise DataError(f"a quote isn't closed: {line!r}")
-                buf.append(line[at:end])
-                at = end + 1
-                if at < n and line[at] == quote:
-                    buf.append(quote)
-                    at += 1
-                else:
-                    break
-            out.append(("".join(buf), True))
-        else:
-            end = line.find(sep, at)
-            end = n if end < 0 else end
-            out.append((line[at:end], False))
-            at = end
-        if at >= n:
-            return out
-        if line[at] != sep:
-            raise DataError(f"text after a closing quote: {line!r}")
-        at += len(sep)
+def _fields(names: list[str], sep: str, quote: str, null: str) -> list[Column]:
+    """The fields of the column ``value`` by name; a line that isn't fields between separators is an error.
+
+    Each field is taken with the separator before it.  A quoted one is closed, with doubled quotes
+    inside, or the parts don't make up the line again.
+    """
+    s, q = re.escape(sep), re.escape(quote)
+    line = F.concat(F.lit(sep), F.col("value"))
+    pattern = f"{s}(?:{q}[^{q}]*+(?:{q}{q}[^{q}]*+)*+{q}(?={s}|$)|(?!{q})(?:(?!{s}).)*+)"
+    parts = F.regexp_extract_all(line, F.lit(pattern), 0)
+    whole = F.array_join(parts, "") == line
+    wrong = F.raise_error(F.concat(F.lit(f"expected {len(names)} fields, quotes closed: "), F.col("value")))
+    held = F.when(whole & (F.size(parts) == len(names)), parts).otherwise(wrong.cast("array<string>"))
+    out = []
+    for i, n in enumerate(names):
+        field = F.substring(held[i], F.lit(len(sep) + 1), F.length(held[i]))
+        inner = F.replace(F.substring(field, F.lit(len(quote) + 1), F.length(field) - 2 * len(quote)), F.lit(quote * 2), F.lit(quote))
+        out.append(F.when(field.startswith(quote), inner).when(field != null, field).alias(n))
+    return out
 
 
 def read_delimited(spark: SparkSession, path: str, spec: TableSpec, columns: list[str] | None, header: bool, delimiter: str, quote: str, null: str) -> DataFrame:
@@ -74,7 +65,7 @@ def read_delimited(spark: SparkSession, path: str, spec: TableSpec, columns: lis
 
     Only an unquoted field that equals the null marker is NULL.  With the default marker Spark's
     reader does that by itself; any other marker needs to know which fields were quoted, so lines
-    are split in Python then.  Blank lines are skipped; lines don't continue within quotes.
+    are cut by a regular expression then.  Blank lines are skipped; lines don't continue within quotes.
     """
     names = [spec.column(c).name for c in columns] if columns else spec.names()
     if null == "":
@@ -82,26 +73,13 @@ def read_delimited(spark: SparkSession, path: str, spec: TableSpec, columns: lis
         opts = {"sep": delimiter, "quote": quote, "escape": quote, "header": header, "enforceSchema": True, "mode": "FAILFAST", "nullValue": _UNSET, "emptyValue": ""}
         rows = spark.read.schema(raw).options(**opts).csv(path)
     else:
-        def run(batches):
-            import pandas as pd
-
-            for b in batches:
-                got = []
-                for line in b["value"]:
-                    if line.strip("\r"):
-                        fields = split_line(line.rstrip("\r"), delimiter, quote)
-                        if len(fields) != len(names):
-                            raise DataError(f"{len(fields)} fields, expected {len(names)}: {line!r}")
-                        got.append([None if not q and f == null else f for f, q in fields])
-                yield pd.DataFrame(got, columns=names, dtype=object)
-
         text = spark.read.text(path)
         if header:
             # the first line of each file
             first = text.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_block_start").alias("s"), "value", F.monotonically_increasing_id().alias("i"))
             heads = first.groupBy("p").agg(F.min("i").alias("i"))
             text = first.join(F.broadcast(heads), ["p", "i"], "left_anti").select("value")
-        rows = text.mapInPandas(run, ", ".join(f"`{n}` string" for n in names))
+        rows = text.select(F.regexp_replace("value", "\r+$", "").alias("value")).where("value <> ''").select(*_fields(names, delimiter, quote, null))
     typed = []
     for c in spec.columns:
         if c.name in names:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import argparse
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +61,29 @@ def interactions(spark: SparkSession, count: int, users: int = 500, items: int =
     item = F.when(_hash("id", seed, 2, 5) < 4, own).otherwise(_hash("id", seed, 4, items))
     kind = F.element_at(F.array(F.lit("view"), F.lit("view"), F.lit("cart"), F.lit("buy")), (_hash("id", seed, 5, 4) + 1).cast("int"))
     return df.select("id", "user_id", item.alias("item_id"), kind.alias("kind"), F.timestamp_seconds(F.lit(BASE_S) + F.col("id")).cast("timestamp_ntz").alias("ts"))
+
+
+def main(args: list[str] | None = None) -> None:
+    """Payments with planted signals, into a table ``tx`` of a database or as JSON lines below a folder."""
+    from ..engine import Engine
+    from ..session import local
+
+    p = argparse.ArgumentParser(description=main.__doc__)
+    p.add_argument("--count", type=int, default=10_000)
+    p.add_argument("--seed", type=int, default=42)
+    to = p.add_mutually_exclusive_group(required=True)
+    to.add_argument("--db", help="folder of the database")
+    to.add_argument("--sink", help="folder of the JSON lines")
+    a = p.parse_args(args)
+    spark = local()
+    rows = transactions(spark, a.count, a.seed).unionAll(suspicious(spark))
+    if a.sink:
+        rows.write.mode("append").json(a.sink)
+    else:
+        db = Engine(spark, a.db).db
+        db.table_or_create("CREATE TABLE tx (txn_id BIGINT PRIMARY KEY, src BIGINT NOT NULL, dst BIGINT NOT NULL, amount DECIMAL(14,2), ts TIMESTAMP)")
+        db.bulk_load("tx", rows)
+
+
+if __name__ == "__main__":
+    main()

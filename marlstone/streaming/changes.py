@@ -13,6 +13,7 @@ import json
 import os
 import threading
 import time
+import traceback
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -98,6 +99,13 @@ class ChangeStream:
         """Ends the subscription; who waits on it gets None."""
         self._closed.set()
 
+    def closed(self) -> bool:
+        return self._closed.is_set()
+
+    def wait(self, seconds: float) -> None:
+        """Sleeps, but not beyond the end of the subscription."""
+        self._closed.wait(seconds)
+
     def __iter__(self) -> Iterator[dict]:
         while (got := self.recv()) is not None:
             yield got
@@ -110,44 +118,54 @@ class ChangeStream:
 
 
 class Subscription:
-    """Calls back for each change in a thread of its own until it is closed; an error ends it and is kept in ``error``."""
+    """Calls ``callback(old, new)`` for each change, in a thread of its own until it is closed.
+
+    An error of the callback is printed and counted in ``errors``; the changes after it still come.
+    """
 
-    def __init__(self, stream: ChangeStream, callback: Callable[[dict], object]):
-        self.stream, self.error = stream, None
+    def __init__(self, stream: ChangeStream, callback: Callable[[dict | None, dict | None], object]):
+        self.stream, self.callback, self.errors = stream, callback, 0
         #: The last commit whose changes were all handed over.
         self.seen = stream.cursor
-
-        def run() -> None:
-            try:
-                while not stream._closed.is_set():
-                    while (got := stream.try_recv()) is not None:
-                        callback(got)
-                    self.seen = stream.cursor
-                    stream._closed.wait(LOOK_S)
-            except Exception as e:  # noqa: BLE001
-                self.error = e
-
-        self._thread = threading.Thread(target=run, daemon=True)
+        self._thread = threading.Thread(target=self._run, daemon=True)
         self._thread.start()
 
+    def _run(self) -> None:
+        while not self.stream.closed():
+            while (got := self.stream.try_recv()) is not None:
+                try:
+                    self.callback(got["old"], got["new"])
+                except Exception:  # noqa: BLE001
+                    self.errors += 1
+                    traceback.print_exc()
+            self.seen = self.stream.cursor
+            self.stream.wait(LOOK_S)
+
+    def is_running(self) -> bool:
+        return self._thread.is_alive()
+
     def settle(self, timeout: float = 60.0) -> None:
-        """Waits until every commit so far was handed over; raises the callback's error."""
+        """Waits until every commit so far was handed over."""
         want, end = self.stream.db.csn(), time.monotonic() + timeout
-        while self.seen < want and self._thread.is_alive():
+        while self.seen < want and self.is_running():
             if time.monotonic() > end:
                 raise TimeoutError("changes are still being handed over")
             time.sleep(LOOK_S)
-        if self.error:
-            raise self.error
 
     def close(self) -> None:
         self.stream.close()
         if self._thread is not threading.current_thread():
             self._thread.join()
 
+    def __enter__(self) -> Subscription:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
-def on_change(db: Database, table: str | None, callback: Callable[[dict], object], after: int | None = None) -> Subscription:
-    """Calls ``callback(change)`` for each committed change of a table (or of all) from now on, or from a commit on."""
+
+def on_change(db: Database, table: str | None, callback: Callable[[dict | None, dict | None], object], after: int | None = None) -> Subscription:
+    """Calls ``callback(old, new)`` for each committed change of a table (or of all) from now on, or from a commit on."""
     return Subscription(ChangeStream(db, table, after), callback)
 
 
@@ -170,7 +188,8 @@ def jsonl_sink(db: Database, target: str, checkpoint: str, table: str | None = N
 
 
 class Worker:
-    """Materialized state: subclass with ``apply(change)`` for each change and ``on_commit(csn)`` after each commit."""
+    """Materialized state: subclass with ``apply(change)`` for each change, ``on_commit(csn)`` after each commit, and
+    ``on_pass(csn)`` for what looks at everything, after every so many commits (see ``Materialized``)."""
 
     def apply(self, change: dict) -> None:
         raise NotImplementedError
@@ -178,11 +197,15 @@ class Worker:
     def on_commit(self, csn: int) -> None:
         pass
 
+    def on_pass(self, csn: int) -> None:
+        pass
+
 
 class Materialized:
     """A worker fed by a streaming query; batches seen before are skipped by the commit number."""
 
-    def __init__(self, db: Database, name: str, worker: Worker, table: str | None = None, after: int = 0, checkpoint: str | None = None, follow: bool = True):
+    def __init__(self, db: Database, name: str, worker: Worker, table: str | None = None, after: int = 0, checkpoint: str | None = None, follow: bool = True, pass_every: int = 0):
+        self.commits, self.pass_every = 0, pass_every
         self.name, self.worker, self.cursor = name, worker, after
         self._lock = threading.RLock()
         self._db = db
@@ -198,13 +221,19 @@ class Materialized:
             last = None
             for r in rows:
                 if last is not None and r["csn"] != last:
-                    self.worker.on_commit(last)
+                    self._done(last)
                 self.worker.apply(_plain(r))
                 last = r["csn"]
             if last is not None:
-                self.worker.on_commit(last)
+                self._done(last)
                 self.cursor = last
 
+    def _done(self, csn: int) -> None:
+        self.worker.on_commit(csn)
+        self.commits += 1
+        if self.pass_every and self.commits % self.pass_every == 0:
+            self.worker.on_pass(csn)
+
     def query(self, fn: Callable[[Worker], object]) -> object:
         with self._lock:
             return fn(self.worker)

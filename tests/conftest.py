@@ -13,7 +13,9 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def spark():
     from marlstone.session import builder
 
-    conf = {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false"}
+    conf = {"spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false"}
+    # many small jobs: compiling less costs less than what it would save
+    conf |= {"spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1 -XX:+UseSerialGC", "spark.sql.codegen.wholeStage": "false"}
     s = builder("tests").master("local[4]").config(map=conf).getOrCreate()
     s.sparkContext.setLogLevel("OFF")
     yield s

@@ -143,3 +143,13 @@ def test_label_rounds_and_filtered_pairs(spark):
     every = {(r["a"], r["b"], r["shared"], r["jaccard"]) for r in g.similar_pairs().collect()}
     for least in (0.3, 0.5, 0.9):
         assert {tuple(r) for r in g.similar_pairs(least).collect()} == {x for x in every if x[3] >= least - 1e-9}
+
+
+def test_blocks_of_sources_change_nothing(spark):
+    from marlstone.graph.view import GraphView
+
+    g = GraphView(spark.createDataFrame([(i % 7, i * i % 11, 1.0) for i in range(20)], "src long, dst long, weight double").distinct())
+    near = lambda df: {r["id"]: round(r["centrality"], 9) for r in df.collect()}
+    assert near(g.closeness_centrality(3)) == near(g.closeness_centrality())
+    whole = near(g.betweenness_centrality())
+    assert near(g.betweenness_centrality(3)) == whole == near(g.betweenness_centrality(sampled=1000)) and max(whole.values()) > 0
