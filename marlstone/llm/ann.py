@@ -129,12 +129,13 @@ class Hnsw:
                 links[t[many]] = self._select(both[many], d, width)
 
     def _walk(self, q: np.ndarray, start: np.ndarray, lv: int, ef: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ef nearest nodes found on a level from each query's start nodes, nearest first."""
-        n, links = len(q), self.links[lv]
-        seen = np.zeros((n, len(self.v)), bool)
-        seen[np.arange(n)[:, None], start] = True
-        ids, dist = start.astype(np.int64), _dist(q, self.v[start])
-        done = np.zeros(ids.shape, bool)
+        """The ef nearest nodes found on a level from each query's start nodes, nearest first; -1 and inf where there are fewer."""
+        n, links, none = len(q), self.links[lv], len(self.v)
+        seen = np.zeros((n, none + 1), bool)  # the last place is nobody's
+        done = start < 0
+        seen[np.arange(n)[:, None], np.where(done, none, start)] = True
+        ids, dist = start.astype(np.int64), _dist(q, self.v[np.maximum(start, 0)])
+        dist[done] = np.inf
         live = np.arange(n)
         out_i, out_d = np.full((n, ef), -1, np.int64), np.full((n, ef), np.inf, np.float32)
         order = np.argsort(dist, axis=1)[:, :ef]
@@ -153,8 +154,9 @@ class Hnsw:
             row = np.arange(len(live))
             done[row, best] = True
             near = links[ids[row, best]].astype(np.int64)
-            bad = (near < 0) | seen[live[:, None], np.maximum(near, 0)]
-            seen[live[:, None], np.maximum(near, 0)] |= near >= 0
+            place = np.where(near < 0, none, near)
+            bad = (near < 0) | seen[live[:, None], place]
+            seen[live[:, None], place] = True
             d = _dist(q[live], self.v[np.maximum(near, 0)])
             d[bad] = np.inf
             ids, dist, done = np.hstack([ids, np.where(bad, -1, near)]), np.hstack([dist, d]), np.hstack([done, bad])
@@ -162,7 +164,7 @@ class Hnsw:
                 order = np.argpartition(dist, ef - 1, axis=1)[:, :ef]
                 ids, dist, done = (np.take_along_axis(x, order, 1) for x in (ids, dist, done))
         order = np.argsort(out_d, axis=1, kind="stable")
-        return np.maximum(np.take_along_axis(out_i, order, 1), 0), np.take_along_axis(out_d, order, 1)
+        return np.take_along_axis(out_i, order, 1), np.take_along_axis(out_d, order, 1)
 
     def search(self, q: np.ndarray, k: int, ef: int, batch: int = 512) -> tuple[np.ndarray, np.ndarray]:
         """(nodes, squared distances) of the k nearest found for each query; -1 and inf where there are fewer."""

@@ -70,6 +70,13 @@ def test_recall_of_the_query_itself(spark, sf):
     assert len(got) == 10 * df.count() and recall(df, got) >= 0.9
 
 
+def test_a_search_wider_than_the_graph_ends_and_finds_all():
+    v = np.random.default_rng(4).normal(size=(90, 8)).astype(np.float32)
+    q = np.random.default_rng(5).normal(size=(40, 8)).astype(np.float32)
+    ids, dist = ann.Hnsw(v).search(q, 90, 300)
+    assert all(sorted(row) == list(range(90)) for row in ids.tolist()) and (np.diff(dist, axis=1) >= 0).all()
+
+
 def test_graph_recall():
     v = np.random.default_rng(1).normal(size=(3000, 16)).astype(np.float32)
     g = ann.Hnsw(v)
