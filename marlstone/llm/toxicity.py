@@ -229,7 +229,7 @@ class ToxicityModel:
     def word_scores(self, w: Words) -> np.ndarray:
         """Score of each distinct word; below the thresholds only an upper bound."""
         left, u = _left(w), w.signs
-        raw, square = np.zeros(len(u), np.float32), np.zeros(len(u), np.float32)
+        raw, square, plain = (np.zeros(len(u), np.float32) for _ in range(3))
         for a, b in _GAPS:
             if len(u) <= a + b:
                 continue
@@ -238,11 +238,12 @@ class ToxicityModel:
             v = DECAY ** (a + b + 1)
             raw[at] += np.where(ok, self.table[_bucket(u[at], u[a : len(u) - b], u[a + b :])], 0) * np.float32(v)
             square[at] += ok * np.float32(v * v)
+            plain[at] += ok * np.float32(v)
         if not len(w.sizes):
             return np.zeros(0)
-        raw, square = np.add.reduceat(raw, w.starts).astype(np.float64), np.add.reduceat(square, w.starts)
-        # shared subsequences only lengthen a word's vector: this bounds its score from above
-        score = np.where(raw > 0, raw / np.sqrt(np.maximum(square, 1e-12)), raw) + self.bias
+        raw, square, plain = np.add.reduceat(raw, w.starts).astype(np.float64), np.add.reduceat(square, w.starts), np.add.reduceat(plain, w.starts)
+        # a word's vector is shortest if no two of its subsequences are the same, longest if all are: this bounds its score from above
+        score = raw / np.maximum(np.where(raw > 0, np.sqrt(square), plain), 1e-6) + self.bias
         close = np.flatnonzero(score >= min(self.threshold, self.low, LEVELS[0]))
         for lo in range(0, len(close), 20_000):
             ids = close[lo : lo + 20_000]

@@ -107,14 +107,14 @@ def test_scoring_by_the_table_is_the_kernel_expansion():
 def test_held_out_documents_and_labels(spark, sf):
     import os
 
-    d = os.path.join(os.path.dirname(sf.rstrip("/")), "sf0.01")
+    d = os.path.join(os.path.dirname(sf.rstrip("/")), "sf0.1")
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     y = {r["doc_id"]: bool(r["toxic"]) for r in labels.collect()}
     model = toxicity.fit(docs, labels.where("doc_id % 2 = 0"))
     got = {r["doc_id"]: r["toxic"] for r in toxicity.flag(docs.where("doc_id % 2 = 1"), model).collect()}
     bad = [i for i in got if y.get(i)]
     good = [i for i in got if i in y and not y[i]]
-    assert bad and sum(got[i] for i in bad) >= 0.8 * len(bad) and sum(got[i] for i in good) <= 0.03 * len(good)
+    assert bad and sum(got[i] for i in bad) >= 0.85 * len(bad) and sum(got[i] for i in good) <= 0.02 * len(good)
 
 
 def plainly(model, text):
