@@ -34,3 +34,13 @@ def test_count_and_bounds_come_from_footers(spark, sf):
     df = metadata_reads(spark, f"{sf}/orders.parquet").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))
     assert "PushedAggregation: [COUNT(*), MIN(o_orderkey), MAX(o_orderkey)]" in plan(df)
     assert df.first()["n"] == spark.read.parquet(f"{sf}/orders.parquet").count()
+
+
+def test_date_functions_agree_beyond_the_smallest_tables(spark, tmp_path):
+    import duckdb
+
+    at = f"{tmp_path}/orders.parquet"
+    spark.sql("SELECT id AS o_orderkey, timestamp_ntz'1995-01-31 10:00:00' + make_interval(0, 0, 0, CAST(id % 700 AS INT)) AS o_orderdate FROM range(1990, 2030)").write.parquet(at)
+    c = duckdb.connect()
+    c.execute(f"create view orders as select * from '{at}/*.parquet'")
+    same_rows(relational.QUERIES["date_functions"](spark, str(tmp_path)), c, relational.ORACLES["date_functions"])
