@@ -153,6 +153,16 @@ def test_no_pair_at_the_threshold_is_left_out(docs_of):
     assert linked(neardup.links(docs_of(rows), bits=2)) == links_of(rows, 0.6)
 
 
+def test_a_full_sketch_still_puts_rare_words_first(docs_of):
+    # half of each text is of six words: texts meet by chance if its n-grams come first
+    r = random.Random(9)
+    rows = [(d, " ".join([f"r{r.randrange(20_000)}" for _ in range(70)] + [f"c{r.randrange(6)}" for _ in range(60)])) for d in range(100)]
+    c = neardup._Candidates(docs_of(rows), 0.6, 3, 8)
+    assert c.tied.count() == 0
+    rows += [(100 + d, text + " more") for d, text in rows[:10]]
+    assert found(neardup.join(docs_of(rows), bits=8)) == pairs_of(rows, 0.6)
+
+
 def test_links_equal_brute_force(docs_of, odd, clash, empty, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 4)
     rows = clusters(6)
