@@ -40,6 +40,11 @@ def stream(db: Database, table: str | None = None) -> DataFrame:
     return df.where(F.lower("table") == table.lower()) if table else df
 
 
+def _in_order(df: DataFrame) -> DataFrame:
+    """By commit number, which alone would put each commit's changes into one partition."""
+    return df.orderBy("csn", F.xxhash64("old", "new"))
+
+
 def _plain(r) -> dict:
     return r.asDict() | {k: json.loads(r[k]) if r[k] else None for k in ("old", "new")}
 
@@ -182,7 +187,7 @@ def jsonl_sink(db: Database, target: str, checkpoint: str, table: str | None = N
     """A started query that writes the feed as JSON lines, one folder a batch, so that a repeated batch replaces itself."""
 
     def write(batch: DataFrame, number: int) -> None:
-        wire_json(batch.orderBy("csn")).write.mode("overwrite").text(os.path.join(target, f"batch={number:09d}"))
+        wire_json(_in_order(batch)).write.mode("overwrite").text(os.path.join(target, f"batch={number:09d}"))
 
     return stream(db, table).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
@@ -201,6 +206,13 @@ class Worker:
         pass
 
 
+class FrameWorker(Worker):
+    """State too large for one process: ``apply_commit`` gets a commit's changes as a DataFrame, to keep its state in tables."""
+
+    def apply_commit(self, csn: int, changes: DataFrame) -> None:
+        raise NotImplementedError
+
+
 class Materialized:
     """A worker fed by a streaming query; batches seen before are skipped by the commit number."""
 
@@ -216,7 +228,12 @@ class Materialized:
 
     def _batch(self, batch: DataFrame, _number: int) -> None:
         # the worker's state is in this process; rows come a partition at a time
-        rows = batch.where(F.col("csn") > self.cursor).orderBy("csn").toLocalIterator()
+        batch = batch.where(F.col("csn") > self.cursor)
+        if isinstance(self.worker, FrameWorker):
+            with self._lock:
+                self._frames(batch)
+            return
+        rows = _in_order(batch).toLocalIterator()
         with self._lock:
             last = None
             for r in rows:
@@ -228,6 +245,12 @@ class Materialized:
                 self._done(last)
                 self.cursor = last
 
+    def _frames(self, batch: DataFrame) -> None:
+        for r in batch.select("csn").distinct().orderBy("csn").collect():
+            self.worker.apply_commit(r["csn"], batch.where(F.col("csn") == r["csn"]))
+            self._done(r["csn"])
+            self.cursor = r["csn"]
+
     def _done(self, csn: int) -> None:
         self.worker.on_commit(csn)
         self.commits += 1

@@ -178,3 +178,37 @@ def test_a_growing_file_is_followed_line_by_line(tmp_path):
     with log.open("a") as f:
         f.write("3}\n")
     assert [x["a"] for x in Tail(str(log), cursor).follow(idle=0.2)] == [3]
+
+
+def test_a_commit_is_spread_and_goes_to_a_frame_worker_whole(engine, spark):
+    from marlstone.streaming.changes import FrameWorker, Workers, _in_order
+
+    rows = spark.range(2000).selectExpr("CAST(7 AS BIGINT) AS csn", "CAST(NULL AS STRING) AS old", "CAST(id AS STRING) AS new")
+    assert _in_order(rows).rdd.getNumPartitions() > 1  # by csn alone it is one
+
+    class Counts(FrameWorker):
+        def __init__(self):
+            self.got, self.commits = [], []
+
+        def apply_commit(self, csn, changes):
+            self.got.append((csn, changes.count()))
+
+        def on_commit(self, csn):
+            self.commits.append(csn)
+
+    engine.sql("CREATE TABLE t (k BIGINT PRIMARY KEY)")
+    engine.sql("INSERT INTO t VALUES (1), (2)")
+    engine.sql("DELETE FROM t WHERE k = 1")
+    workers = Workers(engine.db)
+    w = workers.register("counts", Counts(), "t")
+    w.settle()
+    assert w.query(lambda x: (x.got, x.commits)) == ([(2, 2), (3, 1)], [2, 3])
+    workers.stop_worker("counts")
+
+
+def test_rows_of_the_tail_and_of_the_worker_are_not_held_by_the_driver(spark, sf):
+    from marlstone.plans import planes
+
+    for name in ("t_jsonl_sink_and_tail", "t_worker"):
+        plan = planes.QUERIES[name](spark, sf)._jdf.queryExecution().toString()
+        assert "FileScan parquet" in plan and "LocalTableScan" not in plan and "ExistingRDD" not in plan
