@@ -22,7 +22,7 @@ from ..graph.store import GraphStore
 from ..sources import feed
 from ..streaming import changes as cdc
 from ..streaming import tail
-from .lineage import shared_dir
+from .lineage import shared_dir, written
 from .relational import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -404,23 +404,25 @@ def t_jsonl_sink_and_tail(spark, d) -> DataFrame:
     """Changes as JSON lines, written by one stream and read by another."""
     db, at = _changed(spark, d).db, folder(spark)
     cdc.jsonl_sink(db, f"{at}/lines", f"{at}/sink").trigger(availableNow=True).start().awaitTermination()
-    name = f"tail_{uuid.uuid4().hex}"
     rows = tail.stream_jsonl(spark, f"{at}/lines")
-    rows.writeStream.format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return _flat(spark.table(name)).groupBy("op").agg(F.count("*").alias("n"), F.sum("k").alias("keys"))
+    # as files: a stream's memory table is held by the driver
+    rows.writeStream.format("parquet").option("path", f"{at}/read").option("checkpointLocation", f"{at}/tail").trigger(availableNow=True).start().awaitTermination()
+    return _flat(spark.read.schema(rows.schema).parquet(f"{at}/read")).groupBy("op").agg(F.count("*").alias("n"), F.sum("k").alias("keys"))
 
 
-class _Totals(cdc.Worker):
-    def __init__(self):
-        self.price: dict[int, float] = {}
+class _Totals(cdc.FrameWorker):
+    """Each key's price, in a table that every commit's changes make anew."""
+
+    def __init__(self, spark: SparkSession):
+        self.price = written(spark.createDataFrame([], "k long, price double"), "totals")
         self.commits: list[int] = []
         self.passes: list[int] = []
 
-    def apply(self, change: dict) -> None:
-        if change["new"] is None:
-            del self.price[change["old"]["k"]]
-        else:
-            self.price[change["new"]["k"]] = change["new"]["price"]
+    def apply_commit(self, csn: int, changes: DataFrame) -> None:
+        at = lambda side, kind, f: F.get_json_object(side, f"$.{f}").cast(kind)
+        new = changes.select(F.coalesce(at("new", "long", "k"), at("old", "long", "k")).alias("k"), at("new", "double", "price").alias("n_price"), F.col("new").isNotNull().alias("stays"))
+        both = self.price.join(new, "k", "full").where("coalesce(stays, true)")
+        self.price = written(both.select("k", F.when(F.col("stays"), F.col("n_price")).otherwise(F.col("price")).alias("price")), "totals", instead_of=self.price)
 
     def on_commit(self, csn: int) -> None:
         self.commits.append(csn)
@@ -432,11 +434,11 @@ class _Totals(cdc.Worker):
 @plane("SELECT k, CASE WHEN k % 4 = 0 THEN price + 1 ELSE price END AS price, '[2, 3, 4] [3]' AS commits FROM {o} WHERE k % 6 <> 0")
 def t_worker(spark, d) -> DataFrame:
     workers = cdc.Workers(_changed(spark, d).db)
-    w = workers.register("totals", _Totals(), "o", pass_every=2)
+    w = workers.register("totals", _Totals(spark), "o", pass_every=2)
     w.settle()
-    rows, commits = w.query(lambda x: (sorted(x.price.items()), f"{x.commits} {x.passes}"))
+    prices, commits = w.query(lambda x: (x.price, f"{x.commits} {x.passes}"))
     workers.stop_worker("totals")
-    return spark.createDataFrame([(k, p, commits) for k, p in rows], "k long, price double, commits string")
+    return prices.withColumn("commits", F.lit(commits))
 
 
 @plane("SELECT * FROM (VALUES ('callback', CAST(3 AS BIGINT)), ('iterated', 3), ('late', 0), ('polled', 3)) AS v(how, n)")
