@@ -123,20 +123,34 @@ class GraphView:
         return done.orderBy("level", "id")
 
     # ranks
-    def _shares(self) -> DataFrame:
-        return written(self.edges.select("src", "dst").withColumn("share", 1.0 / F.count("*").over(Window.partitionBy("src"))), "shares")
-
     def _rank(self, start: DataFrame, iterations: int, damping: float) -> DataFrame:
-        """start: (id, base) with the teleport share of each vertex, which is also the first rank."""
-        shares, base = self._shares(), written(start, "base")
-        rank = base.select("id", F.col("base").alias("rank"))
+        """start: (id, base) with the teleport share of each vertex, which is also the first rank.
+
+        The rank of a vertex that nothing points to is its base times one factor, the same for all of
+        them, so what these send is summed up once, and only the other vertices and the edges between
+        them take part in the steps.
+        """
+        out = self.edges.groupBy("src").agg(F.count("*").alias("n"))
+        into = self.edges.select(F.col("dst").alias("id")).distinct().withColumn("inner", F.lit(True))
+        base = start.join(out.withColumnRenamed("src", "id"), "id", "left").join(into, "id", "left")
+        base = written(base.select("id", "base", "n", F.coalesce("inner", F.lit(False)).alias("inner")), "base")
+        from_ = base.where("n is not null").select(F.col("id").alias("src"), (1.0 / F.col("n")).alias("share"), (F.col("base") / F.col("n")).alias("fixed"), "inner")
+        sends = self.edges.select("src", "dst").join(from_, "src")
+        fixed = sends.where("not inner").groupBy(F.col("dst").alias("id")).agg(F.sum("fixed").alias("fixed"))
+        core = written(sends.where("inner").select("src", "dst", "share"), "shares")
+        live = written(base.where("inner").join(fixed, "id", "left").select("id", "base", F.coalesce("fixed", F.lit(0.0)).alias("fixed"), F.col("n").isNull().alias("end")), "inner")
+        rank, factor, alone = live.select("id", "base", "fixed", "end", F.col("base").alias("rank")), 1.0, core.isEmpty()
         for _ in range(iterations):
             # what a vertex without out-edges has goes to no vertex in particular
-            sent = rank.join(shares, F.col("id") == F.col("src"), "left").groupBy("dst").agg(F.sum(F.col("rank") * F.coalesce("share", F.lit(1.0))).alias("got"))
-            lost = F.broadcast(sent.where("dst is null").agg(F.coalesce(F.sum("got"), F.lit(0.0)).alias("lost")))
-            new = F.col("base") * (1 - damping) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("base"))
-            rank = written(base.join(sent, base["id"] == sent["dst"], "left").crossJoin(lost).select("id", new.alias("rank")), "rank", instead_of=rank)
-        return rank
+            lost = rank.where("end").agg(F.sum("rank").alias("lost")).first()["lost"] or 0.0
+            got, was = F.col("fixed") * factor, rank
+            if not alone:
+                sent = rank.select("id", "rank").join(core, F.col("id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+                rank, got = rank.join(sent, F.col("id") == F.col("dst"), "left"), got + F.coalesce("got", F.lit(0.0))
+            new = F.col("base") * (1 - damping) + damping * (got + F.lit(lost) * F.col("base"))
+            rank = written(rank.select("id", "base", "fixed", "end", new.alias("rank")), "rank", instead_of=was)
+            factor = (1 - damping) + damping * lost
+        return rank.select("id", "rank").unionAll(base.where("not inner").select("id", (F.col("base") * factor).alias("rank")))
 
     def pagerank(self, iterations: int = 20, damping: float = 0.85) -> DataFrame:
         """(id, rank) after exactly so many steps; the rank of vertices without out-edges spreads evenly."""

@@ -153,3 +153,28 @@ def test_blocks_of_sources_change_nothing(spark):
     assert near(g.closeness_centrality(3)) == near(g.closeness_centrality())
     whole = near(g.betweenness_centrality())
     assert near(g.betweenness_centrality(3)) == whole == near(g.betweenness_centrality(sampled=1000)) and max(whole.values()) > 0
+
+
+def test_ranks_equal_plain_steps_and_leave_out_what_nothing_points_to(graph, monkeypatch):
+    from marlstone.graph import view
+
+    rows, real = {}, view.written
+
+    def noted(df, what, **how):
+        out = real(df, what, **how)
+        rows[what] = out.count()
+        return out
+
+    monkeypatch.setattr(view, "written", noted)
+    # 1 and 2 are only sources, 6 is an end, 5 has a loop
+    edges = [(1, 3), (1, 6), (2, 3), (3, 4), (4, 3), (4, 5), (5, 5), (5, 6)]
+    rank = {v: 1 / 6 for v in range(1, 7)}
+    for _ in range(7):
+        new = {v: 0.15 / 6 + 0.85 * rank[6] / 6 for v in rank}
+        for a, b in edges:
+            new[b] += 0.85 * rank[a] / sum(x == a for x, _ in edges)
+        rank = new
+    got = pairs(graph(edges).pagerank(7))
+    assert got.keys() == rank.keys() and all(math.isclose(got[v], rank[v]) for v in rank) and rows["shares"] == 5
+    pairs(graph([(1, 11), (2, 11), (2, 12)]).pagerank(2))
+    assert rows["shares"] == 0
