@@ -44,3 +44,14 @@ def test_date_functions_agree_beyond_the_smallest_tables(spark, tmp_path):
     c = duckdb.connect()
     c.execute(f"create view orders as select * from '{at}/*.parquet'")
     same_rows(relational.QUERIES["date_functions"](spark, str(tmp_path)), c, relational.ORACLES["date_functions"])
+
+
+def test_percentiles_need_no_task_that_holds_a_group(spark):
+    from marlstone.plans.percentiles import percentiles
+
+    df = spark.sql("SELECT CASE id % 4 WHEN 3 THEN NULL ELSE id % 4 END AS g, CASE WHEN id % 4 <> 2 THEN CAST(id * 7919 % 211 / 8 AS DOUBLE) END AS v FROM range(4003)")
+    df.createOrReplaceTempView("for_percentiles")
+    want = spark.sql("SELECT g, median(v) AS a, percentile_cont(0.9) WITHIN GROUP (ORDER BY v) AS b FROM for_percentiles GROUP BY g")
+    got = percentiles(df, "g", "v", {"a": 0.5, "b": 0.9})
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and "percentile(" not in plan(got)
+    assert "percentile(" not in plan(relational.QUERIES["median_percentile"](spark, "/root/testdata/sf0.001"))
